@@ -4,7 +4,7 @@ Each text becomes the set of its items (words, or pairs of characters in
 Japanese and Chinese). Texts with the same set form one class, and only the
 classes are searched:
 
-1. document frequency of every item per language, over all classes;
+1. document frequency of every item per language, over all texts;
 2. improved consistent weighted sampling of the sets under damped IDF weights;
    equal samples occur with the weighted Jaccard similarity as probability;
 3. bands of samples as join keys, one row for each class and band;
@@ -13,6 +13,9 @@ classes are searched:
 5. membership joins that turn alike classes into pairs of rows, leaving out
    pairs of the same formatting group.
 
+A class is named by a 64-bit hash of its set. Among n classes about n^2 / 2^65
+pairs share a name by chance; these would be taken for one class.
+
 Rare items all get the same weight, so the table of frequencies that goes to
 the executors holds items above a share of the texts only; at most
 ``mean items / FLOOR`` of those exist per language, however large the corpus.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.session import materialize
@@ -34,9 +37,9 @@ from glyphmill.session import materialize
 #: Alikeness from which two texts belong together.
 THRESHOLD = 0.73
 #: Samples in a band, and bands.
-ROWS, BANDS = 7, 22
+ROWS, BANDS = 7, 14
 #: Exponent on the IDF weight.
-SHARPNESS = 1.5
+SHARPNESS = 1.25
 #: Items in fewer than this share of a language's texts weigh the same.
 FLOOR = 1 / 50
 #: Entries of a worker's memo.
@@ -58,39 +61,85 @@ def items_of(text: str | None, lang: str | None) -> list[str]:
 
 
 def _itemise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows to sides: sorted 32-bit item hashes and a 128-bit key of language pair, side and set."""
+    """Rows to sides: the sorted 32-bit hashes of a side's items as bytes, and the 64-bit name of its class."""
     memo: dict[str, int] = {}
-    h32 = xxhash.xxh32_intdigest
+    pairs: dict[tuple, int] = {}
+    digest, name = xxhash.xxh32_intdigest, xxhash.xxh3_64_intdigest
     for b in batches:
         ids, grp, slang, tlang, stext, ttext = (c.to_pylist() for c in b.columns)
-        out: dict[str, list] = {k: [] for k in ("row_id", "grp", "side", "lang", "pair", "key", "items")}
+        row_id, group, lang_of, pair_of, size, flat = [], [], [], [], [], []
         for i, g, sl, tl, s, t in zip(ids, grp, slang, tlang, stext, ttext):
             for side, lang, text in ((0, sl, s), (1, tl, t)):
                 words = items_of(text, lang)
                 if not words:
                     continue
-                if len(memo) > 500_000:
-                    memo.clear()
-                codes = []
-                for w in words:
-                    c = memo.get(w)
-                    if c is None:
-                        c = memo[w] = h32(w)
-                    codes.append(c)
-                arr = np.unique(np.array(codes, dtype=np.uint32)).view(np.int32)
-                pair = f"{sl}\x1f{tl}\x1f{side}"
-                words.sort()
-                out["row_id"].append(i)
-                out["grp"].append(g)
-                out["side"].append(side)
-                out["lang"].append(lang or "")
-                out["pair"].append(xxhash.xxh3_64_intdigest(pair) >> 1)
-                out["key"].append(xxhash.xxh3_128_digest(pair + "\x1e" + "\x1f".join(words)))
-                out["items"].append(arr)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["row_id"], pa.int64()), pa.array(out["grp"], pa.binary()), pa.array(out["side"], pa.int32()), pa.array(out["lang"], pa.string()), pa.array(out["pair"], pa.int64()), pa.array(out["key"], pa.binary()), pa.array(out["items"], pa.list_(pa.int32()))],
-            names=["row_id", "grp", "side", "lang", "pair", "key", "items"],
-        )
+                row_id.append(i)
+                group.append(g)
+                lang_of.append(lang or "")
+                k = (sl, tl, side)
+                if k not in pairs:
+                    pairs[k] = name(f"{sl}\x1f{tl}\x1f{side}")
+                pair_of.append(pairs[k])
+                size.append(len(words))
+                flat += words
+        if not row_id:
+            continue
+        if len(memo) > 500_000:
+            memo.clear()
+        codes = list(map(memo.get, flat))
+        if None in codes:
+            for w in {w for w, c in zip(flat, codes) if c is None}:
+                memo[w] = digest(w)
+            codes = list(map(memo.__getitem__, flat))
+        keyed = np.array(codes, dtype=np.uint64) | (np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(32))
+        keyed.sort()
+        raw = (keyed & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+        ends = np.cumsum(size) * 4
+        sets = [raw[e - 4 * n : e] for e, n in zip(ends.tolist(), size)]
+        cid = np.fromiter(map(name, sets, pair_of), dtype=np.uint64, count=len(sets)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(row_id, pa.int64()), pa.array(group, pa.int64()), pa.array(lang_of, pa.string()), pa.array(cid), pa.array(np.array(pair_of, dtype=np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["row_id", "grp", "lang", "cid", "pair", "items"])
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All item hashes of a column of sets, and the number in each."""
+    sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]) // 4
+    first = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[first : first + 4 * sizes.sum()].view(np.uint32), sizes.astype(np.int64)
+
+
+def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of a partition, by language; item -1 counts the texts."""
+    seen: dict[str, list] = {}
+    for b in batches:
+        langs = np.array(b.column(0).to_pylist(), dtype=object)
+        flat, sizes = _codes(b.column(1))
+        for lang in set(langs):
+            pick = langs == lang
+            code, n = np.unique(flat[np.repeat(pick, sizes)], return_counts=True)
+            seen.setdefault(lang, []).append((code.astype(np.int64), n))
+            seen[lang].append((np.array([-1]), np.array([pick.sum()])))
+    for lang, parts in seen.items():
+        code, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], names=["lang", "item", "df"])
+
+
+def _verify(threshold: float):
+    """Weighted Jaccard similarity with unit weights of the two sets of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            (fa, na), (fb, nb) = _codes(b.column(2)), _codes(b.column(3))
+            row = np.arange(b.num_rows, dtype=np.uint64) << np.uint64(32)
+            both = np.concatenate((np.repeat(row, na) | fa, np.repeat(row, nb) | fb))
+            both.sort()
+            shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=b.num_rows)
+            good = pa.array(shared >= threshold * (na + nb - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["ca", "cb"]).filter(good)
+
+    return run
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -131,57 +180,65 @@ def _sign(weights: dict[str, tuple[np.ndarray, np.ndarray]], rare: float, rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[dict, np.ndarray]] = {}
+        done: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 2000):
-                yield from one(b.slice(at, 2000), memo)
+                part = b.slice(at, 2000)
+                if len(done) > 500_000:
+                    done.clear()
+                fresh = []
+                for c in part.column(0).to_pylist():
+                    fresh.append(c not in done)
+                    done.add(c)
+                if not all(fresh):
+                    part = part.filter(pa.array(fresh))
+                if part.num_rows:
+                    yield from one(part, memo)
 
     def one(b: pa.RecordBatch, memo: dict) -> Iterator[pa.RecordBatch]:
         langs = np.array(b.column(1).to_pylist(), dtype=object)
         cid = b.column(0).to_numpy()
-        pair = b.column(2).to_numpy().astype(np.uint64)
-        lists = b.column(3)
-        start, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        flat_all, sizes = _codes(b.column(2))
         for lang in set(langs):
             pick = np.flatnonzero(langs == lang)
-            size = start[pick + 1] - start[pick]
-            at = np.repeat(start[pick] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            codes, inverse = np.unique(flat[at], return_inverse=True)
+            size = sizes[pick]
+            codes, inverse = np.unique(flat_all[np.repeat(langs == lang, sizes)], return_inverse=True)
             slot, table = memo.get(lang, ({}, np.zeros((0, rows * bands), np.float32)))
             if len(slot) > MEMO_ENTRIES:
                 slot, table = {}, table[:0]
             new = [c for c in codes.tolist() if c not in slot]
             if new:
-                known, weight = weights.get(lang, (np.zeros(0, np.int32), np.zeros(0)))
-                code = np.array(new, dtype=np.int32)
+                known, weight = weights.get(lang, (np.zeros(0, np.uint32), np.zeros(0)))
+                code = np.array(new, dtype=np.uint32)
                 w = np.full(len(code), rare)
                 if len(known):
                     p = np.minimum(np.searchsorted(known, code), len(known) - 1)
                     w = np.where(known[p] == code, weight[p], rare)
                 slot.update(zip(new, range(len(table), len(table) + len(new))))
-                table = np.concatenate((table, sampler.values(code.view(np.uint32), w)))
+                table = np.concatenate((table, sampler.values(code, w)))
             memo[lang] = slot, table
             where = np.fromiter(map(slot.__getitem__, codes.tolist()), dtype=np.int64, count=len(codes))
             low = np.minimum.reduceat(table[where[inverse]], np.concatenate(([0], np.cumsum(size)[:-1])), axis=0)
             bits = low.view(np.uint32).astype(np.uint64).reshape(len(pick), bands, rows)
             with np.errstate(over="ignore"):
-                key = _mix(pair[pick][:, None] + np.arange(bands, dtype=np.uint64)[None] * np.uint64(0x9E3779B9))
+                key = _mix(b.column(3).to_numpy()[pick].view(np.uint64)[:, None] + np.arange(bands, dtype=np.uint64)[None] * np.uint64(0x9E3779B9))
                 for k in range(rows):
                     key = _mix(key ^ bits[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(cid[pick], bands))], names=["band", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(16)).reshape(-1).view(np.int64)), pa.array(np.repeat(cid[pick], bands))], names=["band", "cid"])
 
     return run
 
 
-def item_weights(classes: DataFrame, sharpness: float, floor: float) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], float]:
+def item_weights(sides: DataFrame, sharpness: float, floor: float) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], float]:
     """IDF weights of the items above ``floor`` per language, and the weight of all others."""
-    n = {r["lang"]: r["n"] for r in classes.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = classes.groupBy("lang").agg((F.count("*") * floor).alias("least"))
-    counts = classes.select("lang", F.explode("items").alias("item")).groupBy("lang", "item").agg(F.count("*").alias("df"))
-    often = counts.join(F.broadcast(share), "lang").where("df > least").select("lang", "item", "df").toPandas()
-    weigh = lambda df, total: np.log1p(np.minimum(total / df, 1 / floor)) ** sharpness
+    counts = sides.select("lang", "items").mapInArrow(_count_items, "lang string, item long, df long").groupBy("lang", "item").agg(F.sum("df").alias("df"))
+    # no item is in more texts than there are, so what passes is bounded by mean items / floor in each language
+    total = F.max(F.when(F.col("item") == -1, F.col("df"))).over(Window.partitionBy("lang").orderBy("item").rowsBetween(Window.unboundedPreceding, 0))
+    often = counts.withColumn("n", total).where("df > n * %r" % floor).where("item >= 0").toPandas()
     out = {}
     for lang, part in often.sort_values("item").groupby("lang"):
-        out[lang] = (part["item"].to_numpy(dtype=np.int32), weigh(part["df"].to_numpy(dtype=float), n[lang]))
+        idf = np.log1p(np.minimum(part["n"].to_numpy(dtype=float) / part["df"].to_numpy(dtype=float), 1 / floor))
+        out[lang] = (part["item"].to_numpy().astype(np.uint32), idf**sharpness)
     return out, float(np.log1p(1 / floor) ** sharpness)
 
 
@@ -202,31 +259,27 @@ def near_copy_pairs(
     left out. Null texts and texts without items are alike to nothing; null
     languages equal each other.
     """
-    base = df.select(F.col(id_col).cast("long").alias("row_id"), F.unhex(F.md5(F.coalesce(group, F.concat(F.lit("\x00"), F.col(id_col).cast("string"))))).alias("grp"), "source_lang", "target_lang", "source_text", "translated_text")
-    sides = materialize(base.mapInArrow(_itemise, "row_id long, grp binary, side int, lang string, pair long, key binary, items array<int>"))
-
-    # a class is named by its first row and the side, which is exact where a hash would only be likely
-    first = sides.groupBy("key").agg(F.min("row_id").alias("first_id"))
-    keyed = sides.select("row_id", "grp", "side", "key").join(first, "key")
-    members = materialize(keyed.select((F.col("first_id") * 2 + F.col("side")).alias("cid"), "grp", "row_id"))
-    heads = members.where(F.expr("cid div 2 = row_id")).select("cid")
-    classes = materialize(sides.select((F.col("row_id") * 2 + F.col("side")).alias("cid"), "lang", "pair", "items").join(heads.distinct(), "cid"))
-
-    weights, rare = item_weights(classes, sharpness, floor)
-    banded = classes.select("cid", "lang", "pair", "items").mapInArrow(_sign(weights, rare, rows, bands), "band long, cid long")
-    left, right = banded.select("band", F.col("cid").alias("ca")), banded.select(F.col("band").alias("_band"), F.col("cid").alias("cb"))
-    candidates = left.join(right, (F.col("band") == F.col("_band")) & (F.col("ca") < F.col("cb"))).select("ca", "cb").distinct()
-
-    sets = classes.select("cid", "items")
+    grp = F.xxhash64(F.coalesce(group, F.concat(F.lit("\x00"), F.col(id_col).cast("string"))))
+    base = df.select(F.col(id_col).cast("long").alias("row_id"), grp.alias("grp"), "source_lang", "target_lang", "source_text", "translated_text").where("row_id IS NOT NULL")
+    sides = materialize(base.mapInArrow(_itemise, "row_id long, grp long, lang string, cid long, pair long, items binary"))
+
+    weights, rare = item_weights(sides, sharpness, floor)
+    banded = sides.select("cid", "lang", "items", "pair").mapInArrow(_sign(weights, rare, rows, bands), "band long, cid long")
+    # one exchange serves both sides of the join; copies of a class that several tasks signed meet and vanish here
+    banded = banded.repartition("band").dropDuplicates(["band", "cid"])
+    left, right = banded.select("band", F.col("cid").alias("ca")), banded.select("band", F.col("cid").alias("cb"))
+    candidates = left.join(right, "band").where("ca < cb").select("ca", "cb").distinct()
+
+    sets = sides.groupBy("cid").agg(F.first("items").alias("items"))
     both = candidates.join(sets.select(F.col("cid").alias("ca"), F.col("items").alias("ia")), "ca").join(sets.select(F.col("cid").alias("cb"), F.col("items").alias("ib")), "cb")
-    shared = F.size(F.array_intersect("ia", "ib"))
-    alike = both.select("ca", "cb", shared.alias("n"), (F.size("ia") + F.size("ib")).alias("m")).where(F.col("n") >= threshold * (F.col("m") - F.col("n")) - 1e-9).select("ca", "cb")
+    alike = both.select("ca", "cb", "ia", "ib").mapInArrow(_verify(threshold), "ca long, cb long")
 
     # formatting groups inside a class: pairs are formed between groups, never between the rows of one
-    parts = members.groupBy("cid", "grp").agg(F.min("row_id").alias("pid"))
+    members = sides.select("cid", "grp", "row_id")
+    parts = members.select("cid", "grp").distinct()
     several = parts.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"))
-    pa_, pb = (parts.select(F.col("cid").alias(c), F.col("grp").alias(f"g{c}"), F.col("pid").alias(f"p{c}")) for c in ("ca", "cb"))
-    linked = alike.unionByName(several).join(pa_, "ca").join(pb, "cb").where((F.col("gca") != F.col("gcb")) & ((F.col("ca") != F.col("cb")) | (F.col("gca") < F.col("gcb")))).select("ca", "gca", "cb", "gcb")
-    ma, mb = (members.select(F.col("cid").alias(c), F.col("grp").alias(f"g{c}"), F.col("row_id").alias(f"r{c}")) for c in ("ca", "cb"))
-    pairs = linked.join(ma, ["ca", "gca"]).join(mb, ["cb", "gcb"])
+    part_a, part_b = (parts.select(F.col("cid").alias(c), F.col("grp").alias(f"g{c}")) for c in ("ca", "cb"))
+    linked = alike.unionByName(several).join(part_a, "ca").join(part_b, "cb").where((F.col("gca") != F.col("gcb")) & ((F.col("ca") != F.col("cb")) | (F.col("gca") < F.col("gcb"))))
+    row_a, row_b = (members.select(F.col("cid").alias(c), F.col("grp").alias(f"g{c}"), F.col("row_id").alias(f"r{c}")) for c in ("ca", "cb"))
+    pairs = linked.select("ca", "gca", "cb", "gcb").join(row_a, ["ca", "gca"]).join(row_b, ["cb", "gcb"])
     return pairs.select(F.least("rca", "rcb").alias("a"), F.greatest("rca", "rcb").alias("b")).where("a <> b").distinct()
