@@ -42,6 +42,8 @@ ROWS, BANDS = 7, 12
 SHARPNESS = 1.25
 #: Items in fewer than this share of a language's texts weigh the same.
 FLOOR = 1 / 50
+#: Bits of the filter that keeps sets without a candidate out of the verification.
+FILTER_BITS = 1 << 23
 #: Entries of a worker's memo.
 MEMO_ENTRIES = 60_000
 
@@ -246,6 +248,20 @@ def item_weights(sides: DataFrame, sharpness: float, floor: float) -> tuple[dict
     return out, float(np.log1p(1 / floor) ** sharpness)
 
 
+def _only_named(sets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Drops most sets that no candidate pair names, before they are shuffled.
+
+    A bitmap of FILTER_BITS hashed names, at most FILTER_BITS / 62 rows, goes to
+    all executors. When the corpus outgrows it, it lets more sets pass, and the
+    result stays the same.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    names = candidates.select(F.explode(F.array("ca", "cb")).alias("c")).select(place("c").alias("at"))
+    words = names.groupBy(F.expr("at div 62").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 62 as int)))").alias("bits"))
+    hit = sets.withColumn("at", place("cid")).withColumn("word", F.expr("at div 62")).join(F.broadcast(words), "word")
+    return hit.where("(shiftright(bits, cast(at % 62 as int)) & 1) = 1").select(*sets.columns)
+
+
 def near_copy_pairs(
     df: DataFrame,
     group: Column,
@@ -272,9 +288,9 @@ def near_copy_pairs(
     # one exchange serves both sides of the join; copies of a class that several tasks signed meet and vanish here
     banded = banded.repartition("band").dropDuplicates(["band", "cid"])
     left, right = banded.select("band", F.col("cid").alias("ca")), banded.select("band", F.col("cid").alias("cb"))
-    candidates = left.join(right, "band").where("ca < cb").select("ca", "cb").distinct()
+    candidates = materialize(left.join(right, "band").where("ca < cb").select("ca", "cb").distinct())
 
-    sets = sides.groupBy("cid").agg(F.first("items").alias("items"))
+    sets = _only_named(sides.select("cid", "items"), candidates).groupBy("cid").agg(F.first("items").alias("items"))
     both = candidates.join(sets.select(F.col("cid").alias("ca"), F.col("items").alias("ia")), "ca").join(sets.select(F.col("cid").alias("cb"), F.col("items").alias("ib")), "cb")
     alike = both.select("ca", "cb", "ia", "ib").mapInArrow(_verify(threshold), "ca long, cb long")
 
