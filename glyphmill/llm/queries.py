@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, copies, near_copies
+from glyphmill.llm import bpe, copies, near_copies, residue
 from glyphmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_ids(load(spark, d, "documents"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(load(spark, d, "documents")).where("is_residue").select("doc_id")
+
+
+def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
+    found = residue.find_residue(load(spark, d, "documents"))
+    return found.select("doc_id", F.round("coverage", 3).alias("coverage"), "placeholder", "is_residue")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_records, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_records, p8_ids, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
