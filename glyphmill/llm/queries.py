@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, copies, near_copies, residue
+from glyphmill.llm import bpe, copies, languages, near_copies, residue, truncation
 from glyphmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,40 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(copies.all_fingerprints(load(spark, d, "memory"), load(spark, d, "translations")))
 
 
+def _scored_cuts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t, b = load(spark, d, "translations"), load(spark, d, "tracked_block")
+    model = truncation.fit([(t, "source_text"), (b, "text")])
+    one = truncation.score(t, model, "entry_id", "source_text", F.col("backend_id"))
+    two = truncation.score(b, model, "row_id", "text", F.col("engine"))
+    return one, two
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    one, two = (x.where("is_cut") for x in _scored_cuts(spark, d))
+    return one.select(F.lit("translations").alias("tbl"), "row_id").unionByName(two.select(F.lit("tracked_block").alias("tbl"), "row_id"))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    one, two = _scored_cuts(spark, d)
+    both = truncation.shares(one).select(F.lit("backend_id").alias("kind"), "*").unionByName(truncation.shares(two).select(F.lit("engine").alias("kind"), "*"))
+    return both.withColumn("share", F.round(F.col("n_cut") / F.col("n_rows"), 6))
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    t, b = load(spark, d, "translations"), load(spark, d, "tracked_block")
+    model = languages.fit_model([(t, "source_lang", "source_text"), (b, "lang", "text")])
+    one = languages.detect(t, model, "entry_id", "source_lang", "source_text").select(F.lit("translations").alias("tbl"), "*")
+    return one.unionByName(languages.detect(b, model, "row_id", "lang", "text").select(F.lit("tracked_block").alias("tbl"), "*"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).where("wrong").select("tbl", "row_id", "lang")
+
+
+def p5_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("tbl", "row_id", "lang", F.round("confidence", 3).alias("confidence"), "letters")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_ids(load(spark, d, "documents"))
 
@@ -42,7 +76,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_records, p8_ids, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_records, p4_found, p4_shares, p5_found, p5_stretches, p8_ids, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
