@@ -23,7 +23,8 @@ from glyphmill.llm import ngrams
 #: Sentences the model is fitted on, taken from at most this many rows of each table.
 SAMPLE_ROWS = 9_000
 SAMPLE_SENTENCES = 24_000
-ORDERS, BITS, DIMS = (1, 2, 3, 4), 16, 16
+#: Orders of the n-grams; order 0 is the block of the character set that a character beyond Latin belongs to.
+ORDERS, BITS, DIMS = (0, 1, 2, 3, 4), 16, 16
 #: Letters below which a text is no case, and a stretch has no language of its own.
 LEAST_LETTERS, LEAST_STRETCH = 20, 10
 #: Letters below which a language beside another one doesn't count.
@@ -65,7 +66,7 @@ def letters(codes: np.ndarray) -> np.ndarray:
 
 
 def _slots(codes: np.ndarray) -> list[np.ndarray]:
-    return [ngrams.hashed(codes, n, BITS).astype(np.int64) + (k << BITS) for k, n in enumerate(ORDERS)]
+    return [ngrams.hashed(codes if n else np.where(codes < 0x370, codes, codes >> np.uint32(8)), max(n, 1), BITS).astype(np.int64) + (k << BITS) for k, n in enumerate(ORDERS)]
 
 
 def _plain(text: str) -> str:
@@ -79,7 +80,7 @@ class LanguageModel:
         self.table, self.bias, self.temperature = table, bias, temperature
 
     @classmethod
-    def fit(cls, sentences: list[str], label: np.ndarray, epochs: int = 4, rate: float = 2.0, batch: int = 128, seed: int = 5) -> LanguageModel:
+    def fit(cls, sentences: list[str], label: np.ndarray, epochs: int = 4, rate: float = 4.0, batch: int = 128, seed: int = 5) -> LanguageModel:
         rng = np.random.default_rng(seed)
         rows = len(ORDERS) << BITS
         embed = rng.normal(0, 0.1, (rows, DIMS)).astype(np.float32)

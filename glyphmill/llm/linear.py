@@ -43,3 +43,16 @@ class HashedLogistic:
                 square[used] += grad * grad
                 self.weight[used] -= rate * grad / np.sqrt(square[used])
         return self
+
+
+class HashedLikelihood(HashedLogistic):
+    """Log-likelihood ratio of hashed features between two classes, each feature on its own."""
+
+    def fit(self, features: list[list[int]], label: np.ndarray, alpha: float = 0.3) -> HashedLikelihood:
+        flat, sizes = self.slots(features)
+        owner = np.repeat(label > 0.5, sizes)
+        count = [np.bincount(flat[owner == k], minlength=1 << self.bits) + alpha for k in (False, True)]
+        total = [max(int((label > 0.5).sum()), 1), max(int((label <= 0.5).sum()), 1)]
+        self.weight = (np.log(count[1] / total[0]) - np.log(count[0] / total[1])).astype(np.float32)
+        self.weight[np.bincount(flat, minlength=1 << self.bits) == 0] = 0
+        return self

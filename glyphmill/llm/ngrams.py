@@ -23,11 +23,15 @@ def hashed(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
     return (h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
 
 
-def log_table(texts: list[str], n: int, bits: int, alpha: float = 0.05) -> np.ndarray:
-    """Smoothed log probabilities of the hashed n-grams of some texts."""
+def log_table(texts: list[str], n: int, bits: int, blend: float = 0.02) -> np.ndarray:
+    """Log probabilities of the hashed n-grams of some texts, blended with the uniform distribution.
+
+    An n-gram that was never seen has the same probability under every table,
+    however many texts the table was made of.
+    """
     codes, _ = code_points(texts)
     count = np.bincount(hashed(codes, n, bits), minlength=1 << bits).astype(np.float64)
-    return np.log((count + alpha) / (count.sum() + alpha * (1 << bits))).astype(np.float32)
+    return np.log((1 - blend) * count / max(count.sum(), 1) + blend / (1 << bits)).astype(np.float32)
 
 
 def segment_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:

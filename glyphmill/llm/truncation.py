@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import ngrams
-from glyphmill.llm.linear import HashedLogistic
+from glyphmill.llm.linear import HashedLikelihood, HashedLogistic
 
 #: Texts the model is fitted on.
 SAMPLE_TEXTS = 12_000
@@ -58,6 +58,8 @@ def is_page(text: str) -> bool:
 class TruncationModel:
     """Scores texts; positive margins are cut."""
 
+    learner = HashedLogistic
+
     def __init__(self, sample: list[str], seed: int = 11):
         rng = random.Random(seed)
         texts = sorted({t.strip() for t in sample if t and t.strip() and not is_page(t)})
@@ -90,7 +92,7 @@ class TruncationModel:
             self.model = None
             return
         label = np.concatenate((np.zeros(len(good)), np.ones(len(bad))))
-        self.model = HashedLogistic().fit([self.features(t) for t in good + bad], label)
+        self.model = self.learner().fit([self.features(t) for t in good + bad], label)
 
     def features(self, text: str) -> list[int]:
         """Hashed features of the text's end."""
@@ -126,6 +128,12 @@ class TruncationModel:
         return (self.model.margin([self.features(t) for t in texts]) > 0) & ~whole
 
 
+class EndLikelihood(TruncationModel):
+    """The same ends, judged by the likelihood ratio of their n-grams between cut and whole texts."""
+
+    learner = HashedLikelihood
+
+
 def fit(tables: list[tuple[DataFrame, str]], sample_texts: int = SAMPLE_TEXTS) -> TruncationModel:
     """A model from a bounded sample of the distinct texts of some tables."""
     texts: list[str] = []
