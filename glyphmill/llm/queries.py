@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, copies, languages, near_copies, residue, responses, truncation
+from glyphmill.llm import bpe, copies, languages, lookalikes, near_copies, residue, responses, truncation
 from glyphmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,21 @@ def p5_stretches(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("tbl", "row_id", "lang", F.round("confidence", 3).alias("confidence"), "letters")
 
 
+def _canonical(spark: SparkSession, d: str) -> DataFrame:
+    t, terms = load(spark, d, "translations"), load(spark, d, "terms")
+    canon = lookalikes.fit([(t, "source_text"), (terms, "source")])
+    one = lookalikes.canonical(t, canon, "entry_id", "source_text").select(F.lit("translations").alias("tbl"), "*")
+    return one.unionByName(lookalikes.canonical(terms, canon, "ordinal", "source").select(F.lit("terms").alias("tbl"), "*"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _canonical(spark, d).where("is_case").select("tbl", "row_id")
+
+
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _canonical(spark, d).select("tbl", "row_id", "text")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return responses.find_defects(load(spark, d, "translations"))
 
@@ -80,7 +95,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_records, p4_found, p4_shares, p5_found, p5_stretches, p7_found, p8_ids, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_records, p4_found, p4_shares, p5_found, p5_stretches, p6_found, p6_texts, p7_found, p8_ids, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
