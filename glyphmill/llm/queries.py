@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, copies, languages, lookalikes, near_copies, residue, responses, truncation
+from glyphmill.llm import bpe, copies, languages, lookalikes, near_copies, residue, responses, scans, truncation
 from glyphmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("memory_id_a"), F.col("b").alias("memory_id_b"))
 
 
+def _scans(spark: SparkSession, d: str) -> scans.Scans:
+    t, m = load(spark, d, "translations"), load(spark, d, "memory")
+    one = t.select(F.lit("translations").alias("tbl"), F.col("entry_id").alias("row_id"), F.col("source_text").alias("text"))
+    return scans.Scans(one.unionByName(m.select(F.lit("memory").alias("tbl"), F.col("memory_id").alias("row_id"), F.col("source_text").alias("text"))))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).found()
+
+
+def p2_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).repaired()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.find_copies(copies.all_fingerprints(load(spark, d, "memory"), load(spark, d, "translations")))
 
@@ -95,7 +109,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_records, p4_found, p4_shares, p5_found, p5_stretches, p6_found, p6_texts, p7_found, p8_ids, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_records, p4_found, p4_shares, p5_found, p5_stretches, p6_found, p6_texts, p7_found, p8_ids, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
