@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, copies, languages, lookalikes, near_copies, residue, responses, scans, truncation
+from glyphmill.llm import bpe, copies, languages, lookalikes, near_copies, packing, residue, responses, scans, truncation
 from glyphmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_ids(load(spark, d, "documents"))
 
 
+def _kinds(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    return [(r["kind"], r["capacity"]) for r in load(spark, d, "container_kind").orderBy("capacity", "kind").collect()]
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(load(spark, d, "documents"), _kinds(spark, d))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    kinds = _kinds(spark, d)
+    return packing.fill(packing.pack_texts(load(spark, d, "documents"), kinds), kinds)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(load(spark, d, "documents")).where("is_residue").select("doc_id")
 
@@ -109,7 +122,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_records, p4_found, p4_shares, p5_found, p5_stretches, p6_found, p6_texts, p7_found, p8_ids, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_records, p4_found, p4_shares, p5_found, p5_stretches, p6_found, p6_texts, p7_found, p8_ids, p9_containers, p9_fill, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
