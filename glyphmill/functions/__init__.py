@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column expressions: text, scripts, quality gates, boxes."""
