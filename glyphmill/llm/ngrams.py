@@ -42,5 +42,12 @@ def segment_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """At most ``rows`` rows, the same ones at every run: those with the smallest hash of ``key``."""
-    return df.withColumn("_h", F.xxhash64(key)).orderBy("_h").limit(rows).drop("_h")
+    """About ``rows`` rows with different keys, at most twice as many, and the same ones at every run.
+
+    A row is in the sample when the hash of its key is below a level that the
+    number of rows sets, so each task sends the driver its share only.
+    """
+    level = int(min(1.0, rows / max(df.count(), 1)) * (1 << 30))
+    columns = F.struct(*df.columns)
+    picked = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < level)
+    return picked.groupBy(key.alias("_key")).agg(F.min(columns).alias("_row")).limit(2 * rows).select("_row.*")
