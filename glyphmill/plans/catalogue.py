@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions import boxes, gates, scripts, text
-from glyphmill.operators import batching, lexicon, stores, telemetry, tracking
-from glyphmill.session import load
+from glyphmill.functions import boxes, gates, protect, scripts, text
+from glyphmill.operators import batching, layout, lexicon, stores, telemetry, tracking
+from glyphmill.session import load, shared_dir
+from glyphmill.streaming import blocks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -704,3 +706,97 @@ def kept_kinds(spark: SparkSession, d: str) -> DataFrame:
     """DED10: blocks by kind, without overlay kinds."""
     b = load(spark, d, "tracked_block").select(F.coalesce(F.try_element_at("params", F.lit("kind")), F.lit("")).alias("kind"))
     return b.where(~F.col("kind").isin("tooltip", "label")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# Frames of lines -----------------------------------------------------------------------------
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks by session and range of twelve ids, which stand in for frames of lines."""
+    return load(spark, d, "tracked_block").where("id IS NOT NULL").withColumn("frame", F.expr("id div 12"))
+
+
+_FRAME = ["session_id", "frame"]
+
+
+@query()
+def wrapped_lines(spark: SparkSession, d: str) -> DataFrame:
+    """WIN1-WIN5: reading order of each frame with soft wraps joined."""
+    return layout.run_pass(_frames(spark, d), _FRAME, "wraps")
+
+
+@query()
+def frame_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """WIN7-WIN9, WIN12, WIN15, DED6: double reads dropped, rows stitched, paragraphs joined."""
+    return layout.run_pass(_frames(spark, d), _FRAME, "paragraphs")
+
+
+@query()
+def frame_texts(spark: SparkSession, d: str) -> DataFrame:
+    """SNK6, STR43: each frame as plain text."""
+    return layout.frame_text(_frames(spark, d), _FRAME)
+
+
+@query()
+def changed_regions(spark: SparkSession, d: str) -> DataFrame:
+    """STM18-STM21, STM26: tiles of changed blocks, grouped and united into regions."""
+    tiles = _frames(spark, d).where("change_count > 0 AND box IS NOT NULL").select(*_FRAME, F.expr("box.x1 div 16").cast("int").alias("tile_x"), F.expr("box.y1 div 16").cast("int").alias("tile_y")).distinct()
+    return layout.tile_regions(tiles, _FRAME, 16, 3840, 2160, 24)
+
+
+@query()
+def matched_lines(spark: SparkSession, d: str) -> DataFrame:
+    """JN8-JN10: greedy matching of two halves of each frame's blocks by score."""
+    rows = _frames(spark, d).select(*_FRAME, F.col("row_id").alias("id"), "box", "lang", "text")
+    return tracking.match_frames(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), _FRAME)
+
+
+# Reversible rewrites -------------------------------------------------------------------------
+
+_RESTORED = "SELECT entry_id, coalesce(source_text, '') AS restored, true AS survived FROM translations"
+
+
+def _round_trip(spark: SparkSession, d: str, take, shape: str) -> DataFrame:
+    rows = load(spark, d, "translations").select("entry_id", take(F.col("source_text")).alias("p"))
+    return rows.select("entry_id", protect.restore(F.col("p.text"), F.col("p.taken"), shape).alias("restored"), protect.survived(F.col("p.text"), F.col("p.taken"), shape).alias("survived"))
+
+
+@query(_RESTORED)
+def path_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """PH1, PH2, PH7: paths taken out and put back."""
+    return _round_trip(spark, d, protect.protect_paths, protect.PATH_TOKEN)
+
+
+@query(_RESTORED)
+def name_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """PH3, PH4, PH7: names taken out and put back."""
+    return _round_trip(spark, d, protect.protect_names, protect.NAME_TOKEN)
+
+
+@query(_RESTORED)
+def mark_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """PH5, PH6, PH8: inner punctuation taken out and put back."""
+    return _round_trip(spark, d, protect.protect_marks, protect.MARK_TOKEN)
+
+
+# Streams -------------------------------------------------------------------------------------
+
+
+def _drain(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over all there is and returns what it wrote; tests and replays."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query("SELECT session_id, id, arg_max(row_id, (content_revision, row_id)) AS row_id FROM tracked_block GROUP BY 1, 2")
+def streamed_latest(spark: SparkSession, d: str) -> DataFrame:
+    """STM2 as a stream: the newest version of each block so far."""
+    rows = load(spark, d, "tracked_block").select("session_id", "id", "content_revision", "row_id")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{d}/tracked_block.parque[t]")  # a pattern, since the table may be a file or a folder
+    return _drain(blocks.newest(stream, ["session_id", "id"], ["content_revision", "row_id"], "row_id"), "complete")
