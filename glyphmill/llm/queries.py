@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, copies, languages, lookalikes, near_copies, packing, residue, responses, scans, truncation
+from glyphmill.llm import bpe, copies, languages, lookalikes, near_copies, oracles, packing, residue, responses, scans, truncation
 from glyphmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,4 +126,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -26,6 +26,8 @@ from glyphmill.session import materialize
 
 #: Lines from which a text may be a page, and the share of its lines that must be full.
 LEAST_LINES, FULL = 4, 0.5
+#: Characters of the widest page; lines beyond it were not broken by a page's width.
+WIDEST = 110
 #: A correction's frequency, and how many times more frequent it must be than the misread word.
 LEAST_COUNT, RATIO = 10, 15
 CODE_RANGE = 1289
@@ -51,7 +53,8 @@ _ENDED = re.compile(r"[.!?。！？…][\"”»」)*]*$")
 _SPLIT = re.compile(r"[^\W\d_][-¬‐\u00ad]\s*$")
 _TOKEN = re.compile(r"[ァ-ヶー]+|[ぁ-ん]+|[一-龥々]+|[가-힣]+|[^\W\d_]+")
 _KANA = re.compile(r"[ァ-ヶー]")
-_WIDE = re.compile(r"[ぁ-ヿ一-龥]")
+_WIDE = re.compile(r"[ぁ-ヿ一-龥々、。！？「」『』：；，]")
+_LABELS = re.compile(r"^(?:[^\W\d_]{1,4} ?\d+(?:/\d+)?\W*)+(?:\d+/\d+)?$")
 #: Words of the vocabulary: letters of two alphabets with what misreading puts between them.
 WORD = r"[!|]?[\p{IsLatin}\p{IsCyrillic}0-9]+(?:[!|][\p{IsLatin}\p{IsCyrillic}0-9]+)*"
 
@@ -70,11 +73,15 @@ class Layout:
         for j, k in enumerate(body):
             x = self.lines[k]
             short = j + 1 == len(body) or len(x) + self._first(self.lines[body[j + 1]]) < self.width - 2
-            self.edge[k] = len(x) <= 60 and not _ENDED.search(x) and (short or k == 0 or k == n - 1)
+            self.edge[k] = len(x) <= 60 and not _ENDED.search(x) and not _LABELS.match(x) and (short or k == 0 or k == n - 1)
         for k in range(n):
             if self.margin[k]:
                 self.edge[k] = len(self.lines[k]) <= 70 and not _ENDED.search(self.lines[k])
         self.header = [False] * n
+        # a number without any ornament amid short lines is a broken-up text's, not a page's
+        for k in range(1, n - 1):
+            if self.number[k] and self.lines[k].isdigit() and min(len(self.lines[k - 1]), len(self.lines[k + 1])) < 0.5 * self.width:
+                self.number[k] = False
 
     @staticmethod
     def _first(line: str) -> int:
@@ -87,6 +94,8 @@ class Layout:
         if len(self.lines) < LEAST_LINES or len(run) < 3 or self.width < 16:
             return False
         width = sorted(map(len, run))[int(0.9 * (len(run) - 1))]
+        if width > WIDEST or sum(bool(_ENDED.search(x)) for x in run[:-1]) > 0.5 * (len(run) - 1):
+            return False
         full = sum(bool(_SPLIT.search(a)) or len(a) + self._first(b) >= width - 3 for a, b in zip(run, run[1:]))
         return full >= FULL * (len(run) - 1)
 
@@ -97,7 +106,7 @@ class Layout:
         for k in range(len(self.lines)):
             if self.margin[k] and self.edge[k]:
                 self.header[k] = True
-            elif self.edge[k] and not self.number[k]:
+            elif not self.number[k] and len(self.lines[k]) <= 60 and not _ENDED.search(self.lines[k]) and not _LABELS.match(self.lines[k]):
                 words = self.words(k)
                 sure = [w for w in words if w.lower() in known]
                 rest = [w for w in words if w.lower() not in known]
