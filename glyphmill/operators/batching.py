@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from glyphmill.functions.text import blank_tokens
 
@@ -47,7 +48,7 @@ def pack_batches(rows: DataFrame, call: list[str], ordinal: str, text: str, most
 
 def run_backend(requests: DataFrame, backend: Callable[[list[str], str], list[str]]) -> DataFrame:
     """Adds ``answer`` to requests (text, lang, ...) by a vectorised backend, one language at a time."""
-    schema = requests.schema.add("answer", "string")
+    schema = StructType([*requests.schema.fields, StructField("answer", StringType())])
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
