@@ -22,7 +22,9 @@ from glyphmill.llm import ngrams
 
 #: Sentences the model is fitted on, taken from at most this many rows of each table.
 SAMPLE_ROWS = 9_000
-SAMPLE_SENTENCES = 24_000
+SAMPLE_SENTENCES, SAMPLE_CHARS = 24_000, 400
+#: Steps of the descent, at least.
+LEAST_STEPS = 250
 #: Orders of the n-grams; order 0 is the block of the character set that a character beyond Latin belongs to.
 ORDERS, BITS, DIMS = (0, 1, 2, 3, 4), 16, 16
 #: Letters below which a text is no case, and a stretch has no language of its own.
@@ -90,6 +92,8 @@ class LanguageModel:
         start = np.concatenate(([0], np.cumsum(sizes)))
         order = rng.permutation(len(sentences))
         held, used = order[: len(order) // 10], order[len(order) // 10 :]
+        # a small sample is passed more often, so that the fit gets enough steps
+        epochs = max(epochs, -(-LEAST_STEPS // (len(used) // batch + 1)))
         steps, done = epochs * (len(used) // batch + 1), 0
         for _ in range(epochs):
             used = rng.permutation(used)
@@ -154,6 +158,8 @@ class LanguageModel:
 
     def languages(self, texts: list[str]) -> list[tuple[int, list[tuple[str, float, int]]]]:
         """Of each text its letters, and its languages with confidence and letters, in order of appearance."""
+        if not texts:
+            return []
         owner, _, count, lang, sure = self.stretches(texts)
         out: list[tuple[int, list]] = [(0, []) for _ in texts]
         total = np.bincount(owner, weights=count, minlength=len(texts)).astype(int)
@@ -173,10 +179,10 @@ class LanguageModel:
 
 
 def sentences_of(text: str) -> list[str]:
-    """Sentences of a text with enough letters to tell a language."""
+    """Sentences of a text with enough letters to tell a language, for the fit; of very long ones the beginning."""
     import re
 
-    return [s for s in re.split(r"(?<=[.!?。！？\n])\s*", text) if sum(map(str.isalpha, s)) >= LEAST_STRETCH]
+    return [s[:SAMPLE_CHARS] for s in re.split(r"(?<=[.!?。！？\n])\s*", text) if sum(map(str.isalpha, s[:SAMPLE_CHARS])) >= LEAST_STRETCH]
 
 
 def fit_model(tables: list[tuple[DataFrame, str, str]], sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
