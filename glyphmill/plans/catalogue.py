@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions import boxes, gates, protect, scripts, text
+from glyphmill.functions import boxes, gates, labels, protect, scripts, text
 from glyphmill.operators import batching, layout, lexicon, stores, telemetry, tracking
 from glyphmill.session import load, shared_dir
 from glyphmill.streaming import blocks
@@ -317,7 +317,9 @@ _stops = lambda c, p: f"len(regexp_extract_all({strip(c)}, '{p}'))"  # noqa: E73
 def translation_gates(spark: SparkSession, d: str) -> DataFrame:
     """FLT10, FLT12-FLT14: quality gates over source and translation."""
     s, o = F.col("source_text"), F.col("translated_text")
-    return load(spark, d, "translations").select("entry_id", gates.is_error_response(s, o).alias("error"), gates.leaves_source(s, o).alias("untranslated"), gates.dropped_tail(s, o).alias("dropped_tail"))
+    words = load(spark, d, "translations").select("entry_id", "source_text", "translated_text", text.tokens(s).alias("src"), text.tokens(o).alias("out"))
+    src, out = F.col("src"), F.col("out")
+    return words.select("entry_id", gates.is_error_response(s, o, src, out).alias("error"), gates.leaves_source(s, o, src, out).alias("untranslated"), gates.dropped_tail(s, o).alias("dropped_tail"))
 
 
 _t = r"trim(regexp_replace(string_split(coalesce(text, ''), chr(10))[-1], '[ \t\n\r\f\x0b]+', ' ', 'g'))"
@@ -800,3 +802,50 @@ def streamed_latest(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "tracked_block").select("session_id", "id", "content_revision", "row_id")
     stream = spark.readStream.schema(rows.schema).parquet(f"{d}/tracked_block.parque[t]")  # a pattern, since the table may be a file or a folder
     return _drain(blocks.newest(stream, ["session_id", "id"], ["content_revision", "row_id"], "row_id"), "complete")
+
+
+# Labels, roles, readings ---------------------------------------------------------------------
+
+_l1 = r"trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0b]+', ' ', 'g'))"
+_spoken = lambda t: rf"(length(trim({t})) >= 8 AND regexp_extract(trim({t}), '^([A-Za-z][A-Za-z0-9 .''\-]{{0,28}}):\s+\S.{{3,}}', 1) <> '' AND length(trim(regexp_extract(trim({t}), '^([A-Za-z][A-Za-z0-9 .''\-]{{0,28}}):\s+\S.{{3,}}', 1))) BETWEEN 2 AND 24 AND lower(trim(regexp_extract(trim({t}), '^([A-Za-z][A-Za-z0-9 .''\-]{{0,28}}):\s+\S.{{3,}}', 1))) NOT IN ({', '.join(repr(w) for w in gates.NO_NAMES)}) AND NOT (len(string_split(trim(regexp_extract(trim({t}), '^([A-Za-z][A-Za-z0-9 .''\-]{{0,28}}):\s+\S.{{3,}}', 1)), ' ')) >= 2 AND len(list_filter(string_split(trim(regexp_extract(trim({t}), '^([A-Za-z][A-Za-z0-9 .''\-]{{0,28}}):\s+\S.{{3,}}', 1)), ' '), lambda w: length(w) > 9)) > 0))"
+_wl = f"regexp_extract_all({_l1}, '[A-Za-z'']+')"
+
+
+@query(
+    rf"""SELECT row_id, (length({_l1}) BETWEEN 2 AND 32 AND NOT {_spoken(_l1)} AND NOT (regexp_matches({_l1}, '^\p{{Ll}}') AND length({_l1}) >= 8) AND NOT regexp_matches({_l1}, '(?i)\b({labels.BODY_WORDS})\b') AND len({_wl}) BETWEEN 1 AND 4) AS prompt,
+      CASE WHEN trim(coalesce(text, '')) = '' THEN -1.0 WHEN regexp_matches(trim(text), '^\d+$') THEN 0.55 WHEN length(trim(text)) <= 4 AND regexp_matches(trim(text), '[0-9]') AND regexp_matches(trim(text), '\p{{L}}') AND NOT contains(trim(text), ' ') THEN 0.05
+        WHEN regexp_matches(trim(text), '^[A-Za-z][A-Za-z''’-]*$') THEN 0.6 WHEN regexp_matches(text, '[ぁ-ゖァ-ヺー一-鿿]') THEN 0.8 ELSE 0.3 END AS plausible,
+      CASE WHEN lower(trim(coalesce(lang, ''))) IN ('ru', 'uk', 'bg', 'sr', 'mk') THEN 'Ур.' ELSE 'Lv.' END AS level_word FROM tracked_block"""
+)
+def label_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """FLT22, FLT44, STR37: prompts, plausibility of readings and level words of the blocks."""
+    t = F.col("text")
+    return load(spark, d, "tracked_block").select("row_id", labels.is_ui_prompt(t).alias("prompt"), labels.plausibility(t).alias("plausible"), labels.level_word(F.col("lang")).alias("level_word"))
+
+
+@query()
+def line_roles(spark: SparkSession, d: str) -> DataFrame:
+    """FLT24, FLT27, JN22, JN24, JN25, FLT46: navigation lines, headers, roles by kind and shape, and zones."""
+    b = load(spark, d, "tracked_block")
+    zones = [{"x": 0.0, "y": 0.0, "w": 0.25, "h": 0.25, "unit": "frac", "role": "HUD"}, {"x": 0.0, "y": 0.9, "w": 1.0, "h": 0.1, "unit": "frac", "role": "DECOR"}]
+    t = F.col("text")
+    return b.select("row_id", labels.is_nav_line(t).alias("nav"), labels.is_section_header(t).alias("header"), labels.role(F.try_element_at("params", F.lit("kind")), t, F.col("box")).alias("role"), labels.zone_roles(b, zones, 1920, 1080).alias("zone"))
+
+
+@query(
+    rf"""SELECT row_id FROM tracked_block b WHERE NOT EXISTS (SELECT 1 FROM (SELECT session_id, {'@E@'.replace('@E@', "trim(regexp_replace(regexp_replace(replace(lower(coalesce(translation, '')), 'ß', 'ss'), '[^\\p{L}\\p{M}\\p{N}_\\s\\x{3000}]', '', 'g'), '" + _SPACE + "', ' ', 'g'))")} AS e FROM tracked_block) o
+      WHERE o.session_id = b.session_id AND o.e <> '' AND o.e = trim(regexp_replace(regexp_replace(replace(lower(coalesce(b.text, '')), 'ß', 'ss'), '[^\p{{L}}\p{{M}}\p{{N}}_\s\x{{3000}}]', '', 'g'), '{_SPACE}', ' ', 'g')))"""
+)
+def own_text_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """JN15, JN16: blocks that don't repeat what their session shows itself."""
+    b = load(spark, d, "tracked_block")
+    return labels.without_own_text(b.select("row_id", "session_id", "text"), "text", b, "translation", ["session_id"]).select("row_id")
+
+
+@query("SELECT entry_id, trim(regexp_replace(coalesce(translated_text, ''), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS joined, true AS every_row FROM translations WHERE NOT regexp_matches(coalesce(translated_text, ''), '[^\\x00-\\x7f]')".replace("\\\\", "\\"))
+def words_over_rows(spark: SparkSession, d: str) -> DataFrame:
+    """STR39, STR40, STR42, STR44: translations spread over the lines of their sources by length; joined again they are whole."""
+    rows = load(spark, d, "translations").where(~F.coalesce("translated_text", F.lit("")).rlike(r"[^\x00-\x7f]"))
+    weights = F.transform(F.split(F.coalesce("source_text", F.lit("")), "\n"), lambda x: F.length(F.regexp_replace(x, r"\s+", "")))
+    parts = rows.select("entry_id", labels.spread("translated_text", weights).alias("p"), F.size(weights).alias("n"))
+    return parts.select("entry_id", F.array_join(F.filter("p", lambda x: x != ""), " ").alias("joined"), (F.size("p") == F.col("n")).alias("every_row"))

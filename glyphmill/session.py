@@ -67,6 +67,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_made: list[str] = []
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Deletes what ``materialize`` wrote in this process; results that were not written yet lose their input."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        path = hadoop(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -76,4 +87,5 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glyphmill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.functions import boxes, gates, protect, scripts, text
+from glyphmill.functions import boxes, gates, labels, protect, scripts, text
 from glyphmill.operators import tracking
 
 
@@ -93,3 +93,39 @@ def test_what_is_taken():
     assert protect.take_paths("open src/main/app.py now")[1] == ["src/main/app.py"]
     assert protect.take_marks("a, b; c!")[1] == [",", ";"]
     assert protect.take_names("We met Old Mira in Karth.")[1] == ["Old Mira", "Karth"]
+
+
+@pytest.mark.parametrize("a, b, want", [("is", "15", True), ("l0ok", "look", True), ("no", "is", False), ("same", "same", True), ("ab", "abc", False), ("", "", False), (None, "x", False)])
+def test_confusable(spark, a, b, want):
+    assert one(spark, labels.are_confusable(F.col("a"), F.col("b")), a=a, b=b) is want
+
+
+@pytest.mark.parametrize("value, want", [("core-en_ru.1", True), ("..", False), ("", False), ("a/b", False), ("x" * 65, False), (None, False)])
+def test_safe_id(spark, value, want):
+    assert one(spark, labels.is_safe_id(F.col("t")), t=value) is want
+
+
+@pytest.mark.parametrize("text_, nav, header, prompt", [("Zoom In", True, True, True), ("What is new here", True, True, True), ("deals damage to enemies", False, False, False), ("Learn with free resources", False, True, True), ("The end of the day.", False, False, False), ("", False, False, False), (None, False, False, False)])
+def test_labels(spark, text_, nav, header, prompt):
+    got = tuple(one(spark, f(F.col("t")), t=text_) for f in (labels.is_nav_line, labels.is_section_header))
+    assert got == (nav, header)
+    if text_ in ("Zoom In", "deals damage to enemies", None):
+        assert one(spark, labels.is_ui_prompt(F.col("t")), t=text_) is prompt
+
+
+def test_zones_and_roles(spark):
+    df = spark.sql("SELECT named_struct('x1',0,'y1',0,'x2',100,'y2',20) box, 'Zoom In' t, CAST(NULL AS STRING) k UNION ALL SELECT named_struct('x1',0,'y1',990,'x2',100,'y2',1000), 'x', 'loot'")
+    zones = [{"x": 0, "y": 0, "w": 500, "h": 1080, "unit": "px", "role": "HUD"}, {"x": 0.0, "y": 0.9, "w": 1.0, "h": 0.1, "unit": "frac", "role": "DECOR"}]
+    got = df.select(labels.zone_roles(df, zones, 1920, 1080).alias("z"), labels.role(F.col("k"), F.col("t"), F.col("box")).alias("r")).collect()
+    assert [tuple(r) for r in got] == [("HUD", "menu"), ("DECOR", "item")]
+    assert df.select(labels.zone_roles(df, [], 1, 1).alias("z")).first()["z"] is None
+
+
+def test_spread_words():
+    for words, weights in ((12, [5, 1, 1]), (3, [1, 1, 1, 1]), (7, [100, 1]), (0, [1, 2]), (5, [])):
+        text_ = " ".join(f"w{k}" for k in range(words))
+        parts = labels.spread_words(text_, weights)
+        assert len(parts) == len(weights)
+        if weights:
+            assert " ".join(p for p in parts if p) == text_
+            assert words < len(weights) or all(parts)
