@@ -1,4 +1,4 @@
-"""Rectangles as ``struct<x1,y1,x2,y2>``: half-open, areas floored at 1."""
+"""Rectangles as ``struct<x1,y1,x2,y2>``: half-open, areas floored at 1. Anything about a null box is null."""
 
 from __future__ import annotations
 
@@ -10,6 +10,15 @@ GATE_IOU, GATE_HEIGHTS = 0.15, 2.5
 WEIGHTS = {"iou": 0.45, "center": 0.25, "size": 0.15, "lang": 0.10, "text": 0.05}
 
 
+def _known(value: Column, *boxes: Column) -> Column:
+    """The value, or null where a box or one of its edges is null; ``greatest`` and ``least`` would skip it."""
+    edges = [b[e] for b in boxes for e in ("x1", "y1", "x2", "y2")]
+    whole = edges[0].isNotNull()
+    for e in edges[1:]:
+        whole = whole & e.isNotNull()
+    return F.when(whole, value)
+
+
 def width(b: Column) -> Column:
     return b["x2"] - b["x1"]
 
@@ -19,18 +28,18 @@ def height(b: Column) -> Column:
 
 
 def area(b: Column) -> Column:
-    return F.greatest(F.lit(1), width(b) * height(b))
+    return _known(F.greatest(F.lit(1), width(b) * height(b)), b)
 
 
 def intersection_area(a: Column, b: Column) -> Column:
     w = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])
     h = F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
-    return F.greatest(F.lit(0), w) * F.greatest(F.lit(0), h)
+    return _known(F.greatest(F.lit(0), w) * F.greatest(F.lit(0), h), a, b)
 
 
 def iou(a: Column, b: Column) -> Column:
     i = intersection_area(a, b)
-    return F.when(i > 0, i / (area(a) + area(b) - i)).otherwise(0.0)
+    return F.when(i > 0, i / (area(a) + area(b) - i)).when(i == 0, 0.0)
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:
@@ -52,7 +61,7 @@ def contains(a: Column, b: Column) -> Column:
 
 
 def union(a: Column, b: Column) -> Column:
-    return F.struct(F.least(a["x1"], b["x1"]).alias("x1"), F.least(a["y1"], b["y1"]).alias("y1"), F.greatest(a["x2"], b["x2"]).alias("x2"), F.greatest(a["y2"], b["y2"]).alias("y2"))
+    return _known(F.struct(F.least(a["x1"], b["x1"]).alias("x1"), F.least(a["y1"], b["y1"]).alias("y1"), F.greatest(a["x2"], b["x2"]).alias("x2"), F.greatest(a["y2"], b["y2"]).alias("y2")), a, b)
 
 
 def intersection(a: Column, b: Column) -> Column:
@@ -73,7 +82,7 @@ def distance(a: Column, b: Column) -> Column:
     """Distance of the nearest points; 0 for boxes that touch."""
     dx = F.greatest(F.lit(0), a["x1"] - b["x2"], b["x1"] - a["x2"])
     dy = F.greatest(F.lit(0), a["y1"] - b["y2"], b["y1"] - a["y2"])
-    return F.sqrt((dx * dx + dy * dy).cast("double"))
+    return _known(F.sqrt((dx * dx + dy * dy).cast("double")), a, b)
 
 
 def center_distance(a: Column, b: Column) -> Column:
@@ -84,11 +93,11 @@ def center_distance(a: Column, b: Column) -> Column:
 
 def center_offset(a: Column, b: Column, least: float = 8.0) -> Column:
     """Distance of the centres in half perimeters of the first box, which is at least ``least``."""
-    return center_distance(a, b) / F.greatest(F.lit(least), (width(a) + height(a)) / 2.0)
+    return _known(center_distance(a, b) / F.greatest(F.lit(least), (width(a) + height(a)) / 2.0), a, b)
 
 
 def mean_height(a: Column, b: Column) -> Column:
-    return F.greatest(F.lit(1.0), (F.greatest(F.lit(1), height(a)) + F.greatest(F.lit(1), height(b))) / 2.0)
+    return _known(F.greatest(F.lit(1.0), (F.greatest(F.lit(1), height(a)) + F.greatest(F.lit(1), height(b))) / 2.0), a, b)
 
 
 def may_be_same(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import boxes, gates, labels, protect, scripts, text
-from glyphmill.operators import batching, layout, lexicon, stores, telemetry, tracking
+from glyphmill.operators import batching, layout, lexicon, overlap, stores, telemetry, tracking
 from glyphmill.session import load, shared_dir
 from glyphmill.streaming import blocks
 
@@ -849,3 +849,106 @@ def words_over_rows(spark: SparkSession, d: str) -> DataFrame:
     weights = F.transform(F.split(F.coalesce("source_text", F.lit("")), "\n"), lambda x: F.length(F.regexp_replace(x, r"\s+", "")))
     parts = rows.select("entry_id", labels.spread("translated_text", weights).alias("p"), F.size(weights).alias("n"))
     return parts.select("entry_id", F.array_join(F.filter("p", lambda x: x != ""), " ").alias("joined"), (F.size("p") == F.col("n")).alias("every_row"))
+
+
+# Noise ---------------------------------------------------------------------------------------
+
+_JP = "[ぁ-ゖァ-ヺー一-鿿]"
+_nt = "trim(coalesce(line, ''))"
+_gt = rf"trim(regexp_replace({_nt}, '[ \t\n\r\f\x0b]+', ' ', 'g'))"
+_ex = lambda t, p: f"regexp_extract_all({t}, '{p}')"
+_gw, _gp = _ex(_gt, "[A-Za-z]{4,}"), _ex(_gt, "[A-Za-zА-яЁё'']+")
+_cnt = lambda xs, test: f"len(list_filter({xs}, lambda w: {test}))"
+_glued = when(
+    (f"{_gt} = ''", "true"), (f"{n(_gt, _JP)} >= 2", "false"), (f"length({_gt}) >= 16 AND NOT contains({_gt}, ' ')", "true"),
+    (f"len({_gw}) > 0 AND {_cnt(_gw, "NOT regexp_matches(lower(w), '[aeiouy]')")} >= greatest(2, len({_gw}) // 2)", "true"), other=f"(len({_gp}) >= 5 AND {_cnt(_gp, 'length(w) <= 2')} >= 4 AND {_cnt(_gp, 'length(w) <= 2')} * 5 >= len({_gp}) * 3)",
+)
+
+
+@query(
+    f"""SELECT doc_id, sum(CASE WHEN glued THEN 1 ELSE 0 END)::BIGINT AS glued, sum(CASE WHEN screen THEN 1 ELSE 0 END)::BIGINT AS screen, count(*) AS n_lines FROM (SELECT doc_id, {_glued} AS glued,
+      regexp_matches(coalesce(line, ''), '(?i)\\b({gates.SCREEN_WORDS.replace("'", "''")})\\b') AS screen FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)) GROUP BY 1"""
+)
+def glued_lines(spark: SparkSession, d: str) -> DataFrame:
+    """FLT2, AGG7: glued lines and screen words of each document."""
+    x = F.col("line")
+    lines = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(gates.is_glued(x)).alias("glued"), F.count_if(gates.is_screen_word(x)).alias("screen"), F.count("*").alias("n_lines"))
+
+
+@query()
+def noise_by_engine(spark: SparkSession, d: str) -> DataFrame:
+    """FLT1, FLT9, AGG8: noisy reads and the sum of reading scores of each engine."""
+    b = load(spark, d, "tracked_block").select("engine", "text", "conf", gates.is_noise(F.col("text")).alias("noise"))
+    return b.groupBy("engine").agg(F.count("*").alias("n"), F.count_if("noise").alias("noisy"), F.round(F.sum(gates.reading_score(F.col("text"), F.col("conf") * 100, F.col("noise"))), 2).alias("score"))
+
+
+@query()
+def repaired_readings(spark: SparkSession, d: str) -> DataFrame:
+    """STR1-STR3: texts with repaired short words."""
+    return load(spark, d, "memory").select("memory_id", text.repair_reading(F.col("source_text")).alias("text"))
+
+
+@query(
+    """WITH b AS (SELECT row_id, session_id, id // 12 AS frame, (box.x1 + box.x2) / 2.0 AS c, text FROM tracked_block WHERE box IS NOT NULL AND id IS NOT NULL),
+      g AS (SELECT *, c - lag(c) OVER w AS gap FROM b WINDOW w AS (PARTITION BY session_id, frame ORDER BY c, row_id)),
+      r AS (SELECT *, CASE WHEN gap > 70 THEN row_number() OVER (PARTITION BY session_id, frame ORDER BY coalesce(gap, -1) DESC, c, row_id) END AS k FROM g),
+      q AS (SELECT *, sum(CASE WHEN k <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, frame ORDER BY c, row_id ROWS UNBOUNDED PRECEDING)::BIGINT AS col FROM r)
+    SELECT session_id, frame, col, count(*) AS n, sum("""
+    + letters("text")
+    + ")::BIGINT AS letters, sum("
+    + in_script("text", "cyrl")
+    + """)::BIGINT AS own FROM q GROUP BY 1, 2, 3"""
+)
+def column_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """WIN19, WIN24: columns of each frame, cut at its two widest gaps, and their letters in the target script."""
+    b = _frames(spark, d).where("box IS NOT NULL").select("row_id", *_FRAME, ((F.col("box.x1") + F.col("box.x2")) / 2.0).alias("c"), "text")
+    order = Window.partitionBy(*_FRAME).orderBy("c", "row_id")
+    g = b.withColumn("gap", F.col("c") - F.lag("c").over(order))
+    k = F.row_number().over(Window.partitionBy(*_FRAME).orderBy(F.desc(F.coalesce("gap", F.lit(-1.0))), "c", "row_id"))
+    q = g.withColumn("cut", (F.col("gap") > 70) & (k <= 2)).withColumn("col", F.sum(F.when(F.col("cut"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return q.groupBy(*_FRAME, "col").agg(F.count("*").alias("n"), F.sum(scripts.letter_count(F.col("text"))).alias("letters"), F.sum(scripts.count(F.col("text"), f"[{scripts.SCRIPTS['cyrl']}&&\\p{{L}}]")).alias("own"))
+
+
+# Two reads of a frame ------------------------------------------------------------------------
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two halves of each frame's blocks, which stand in for two reads of it."""
+    rows = _frames(spark, d).where("box IS NOT NULL").select(*_FRAME, F.col("row_id").alias("id"), "text", "box", "conf")
+    return rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
+
+
+_HALF = "(SELECT session_id, id // 12 AS frame, row_id AS id, text, box, conf FROM tracked_block WHERE box IS NOT NULL AND id IS NOT NULL AND row_id % 2 = {})"
+
+
+@query(
+    f"""SELECT a.id FROM {_HALF.format(0)} a WHERE NOT EXISTS (SELECT 1 FROM {_HALF.format(1)} b WHERE a.session_id = b.session_id AND a.frame = b.frame
+      AND (greatest(0, least(a.box.x2, b.box.x2) - greatest(a.box.x1, b.box.x1)) * greatest(0, least(a.box.y2, b.box.y2) - greatest(a.box.y1, b.box.y1)))
+        / least(greatest(1, (a.box.x2 - a.box.x1) * (a.box.y2 - a.box.y1)), greatest(1, (b.box.x2 - b.box.x1) * (b.box.y2 - b.box.y1))) >= 0.28)"""
+)
+def unshared_lines(spark: SparkSession, d: str) -> DataFrame:
+    """JN26, DED11: lines of one read that none of the other overlaps."""
+    a, b = _halves(spark, d)
+    return overlap.without_overlapping(a, b, _FRAME).select("id")
+
+
+@query()
+def merged_reads(spark: SparkSession, d: str) -> DataFrame:
+    """JN11, JN12, JN14, DED9: two reads of each frame merged by place, the surer line of each band."""
+    a, b = _halves(spark, d)
+    return overlap.best_in_band(overlap.merge_by_place(a, b, _FRAME), a.where("false"), _FRAME).select(*_FRAME, "id")
+
+
+@query()
+def plates(spark: SparkSession, d: str) -> DataFrame:
+    """JN17-JN20: names beside or above their bodies."""
+    a, b = _halves(spark, d)
+    return overlap.name_plates(a.unionByName(b), _FRAME)
+
+
+@query()
+def finished_frames(spark: SparkSession, d: str) -> DataFrame:
+    """WIN28, DED1, DED2: the furthest reads of each frame, distinct, at most 80."""
+    a, b = _halves(spark, d)
+    return overlap.finish_frame(overlap.longest_reads(a.unionByName(b), _FRAME), _FRAME).select(*_FRAME, "id")
