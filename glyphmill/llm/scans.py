@@ -180,28 +180,29 @@ def header_words(pages: DataFrame) -> frozenset[str]:
 def _lay_out(known: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, furniture, split, flow, joints = [], [], [], [], []
-            for k, t in enumerate(b.column(2).to_pylist()):
+            is_page, furniture, split, flow, joints = [], [], [], [], []
+            for t in b.column(2).to_pylist():
                 page = Layout(t)
                 page.find_headers(known)
-                if not page.is_page():
-                    continue
-                lines, cut = page.flow()
-                keep.append(k)
-                furniture.append(page.furniture())
+                is_page.append(page.is_page())
+                lines, cut = page.flow() if is_page[-1] else ([t], False)
+                furniture.append(is_page[-1] and page.furniture())
                 split.append(cut)
                 flow.append("\n".join(lines))
-                joints.append(_joints(lines))
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(furniture, pa.bool_()), pa.array(split, pa.bool_()), pa.array(flow, pa.string()), pa.array(joints, pa.list_(pa.string()))], names=["tbl", "row_id", "furniture", "split", "flow", "joints"])
+                joints.append(_joints(lines) if is_page[-1] else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(is_page, pa.bool_()), pa.array(furniture, pa.bool_()), pa.array(split, pa.bool_()), pa.array(flow, pa.string()), pa.array(joints, pa.list_(pa.string()))], names=["tbl", "row_id", "page", "furniture", "split", "flow", "joints"])
 
     return run
 
 
+def _lined() -> Column:
+    return F.size(F.split("text", "[\n\f\r]")) >= LEAST_LINES
+
+
 def lay_out(texts: DataFrame) -> DataFrame:
-    """``(tbl, row_id, furniture, split, flow, joints)`` of each text that is a page."""
-    pages = texts.where(F.size(F.split("text", "[\n\f\r]")) >= LEAST_LINES).select("tbl", "row_id", "text")
-    return pages.mapInArrow(_lay_out(header_words(pages)), "tbl string, row_id long, furniture boolean, split boolean, flow string, joints array<string>")
+    """``(tbl, row_id, page, furniture, split, flow, joints)`` of each text of enough lines; of one that is no page, ``flow`` is the text."""
+    lined = texts.where(_lined()).select("tbl", "row_id", "text")
+    return lined.mapInArrow(_lay_out(header_words(lined)), "tbl string, row_id long, page boolean, furniture boolean, split boolean, flow string, joints array<string>")
 
 
 def words_of(text: Column) -> Column:
@@ -227,11 +228,11 @@ def fold(word: Column) -> Column:
     return F.translate(word, "0о1!|i5796843cbqнпщес", "oollllstgbbaeehgилшcc")
 
 
-def vocabulary(texts: DataFrame, pages: DataFrame) -> DataFrame:
-    """``(word, n, in_pages)``: how often each word occurs, in all texts and in pages."""
-    plain = texts.join(pages.select("tbl", "row_id"), ["tbl", "row_id"], "left_anti").select(F.explode(words_of(F.col("text"))).alias("word"), F.lit(0).alias("p"))
-    paged = pages.select(F.explode(words_of(F.col("flow"))).alias("word"), F.lit(1).alias("p"))
-    return plain.unionByName(paged).where("length(word) BETWEEN 2 AND 30 AND word RLIKE '[^0-9!|]'").groupBy("word").agg(F.count("*").alias("n"), F.sum("p").alias("in_pages"))
+def vocabulary(texts: DataFrame, laid: DataFrame) -> DataFrame:
+    """``(word, n, in_pages)``: how often each word occurs, in all texts and in pages. Only counts are shuffled."""
+    plain = texts.where(~_lined()).select(F.explode(words_of(F.col("text"))).alias("word"), F.lit(0).alias("p"))
+    lined = laid.select(F.explode(words_of(F.col("flow"))).alias("word"), F.col("page").cast("int").alias("p"))
+    return plain.unionByName(lined).where("length(word) BETWEEN 2 AND 30 AND word RLIKE '[^0-9!|]'").groupBy("word").agg(F.count("*").alias("n"), F.sum("p").alias("in_pages"))
 
 
 def corrections(words: DataFrame) -> DataFrame:
@@ -254,8 +255,9 @@ class Scans:
 
     def __init__(self, texts: DataFrame):
         self.texts = texts.where("text IS NOT NULL")
-        self.pages = materialize(lay_out(self.texts))
-        self.words = materialize(vocabulary(self.texts, self.pages))
+        laid = materialize(lay_out(self.texts))
+        self.pages = laid.where("page")
+        self.words = materialize(vocabulary(self.texts, laid))
         self.fixes = materialize(corrections(self.words))
 
     def misread(self) -> DataFrame:
