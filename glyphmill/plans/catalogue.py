@@ -112,7 +112,7 @@ def script_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT row_id, " + ", ".join(f"round({share('text', s)}, 6) AS {s}" for s in ("latn", "cyrl", "jpan", "hans", "hang")) + f", {letters('text')} AS letters FROM tracked_block"
+    "SELECT row_id, " + ", ".join(f"round({share('text', s)}, 6) AS {s}" for s in ("latn", "cyrl", "jpan", "hans", "hang")) + f", {letters('text')}::INT AS letters FROM tracked_block"
 )
 def script_shares(spark: SparkSession, d: str) -> DataFrame:
     """LNG1, LNG2, LNG7: share of each script among the letters of every block."""
@@ -197,10 +197,10 @@ _pairs = "|".join(text.IMPOSSIBLE_PAIRS)
 
 
 @query(
-    rf"""SELECT entry_id, len(list_distinct({toks('source_text')})) AS distinct_tokens, greatest(1, {n('source_text', '[^ \t\n\r\f\x0b]+')}) AS blank_tokens,
+    rf"""SELECT entry_id, len(list_distinct({toks('source_text')}))::INT AS distinct_tokens, greatest(1, {n('source_text', '[^ \t\n\r\f\x0b]+')})::INT AS blank_tokens,
       md5(array_to_string(list_sort(string_split(regexp_replace(coalesce(source_text, ''), '{_SPACE}', '', 'g'), '')), '')) AS bag,
       md5(regexp_replace(coalesce(source_text, ''), '[\p{{L}}\p{{M}}\p{{N}}_\s\x{{3000}}]+', '', 'g')) AS marks,
-      len(list_filter(list_transform(range(1, length(regexp_replace(lower(coalesce(source_text, '')), '[^a-z]', '', 'g'))), lambda i: substring(regexp_replace(lower(coalesce(source_text, '')), '[^a-z]', '', 'g'), i::INT, 2)), lambda p: regexp_matches(p, '^({_pairs})$'))) AS bad_pairs
+      len(list_filter(list_transform(range(1, length(regexp_replace(lower(coalesce(source_text, '')), '[^a-z]', '', 'g'))), lambda i: substring(regexp_replace(lower(coalesce(source_text, '')), '[^a-z]', '', 'g'), i::INT, 2)), lambda p: regexp_matches(p, '^({_pairs})$')))::INT AS bad_pairs
     FROM translations"""
 )
 def token_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -287,7 +287,7 @@ def crowded_sql(t: str) -> str:
     return f"len(list_filter({t}, lambda w: length(w) >= 5 AND NOT regexp_matches(w, '{_SYL}') AND regexp_matches(w, '[^{_V}]{{4,}}')))"
 
 
-@query(f"SELECT entry_id, round({gibberish_sql('translated_text')}, 6) AS score, {crowded_sql(toks('translated_text'))} AS crowded FROM translations")
+@query(f"SELECT entry_id, round({gibberish_sql('translated_text')}, 6) AS score, {crowded_sql(toks('translated_text'))}::INT AS crowded FROM translations")
 def gibberish_scores(spark: SparkSession, d: str) -> DataFrame:
     """FLT11, FLT15: noise score and consonant-crowded tokens of the translations."""
     t = F.col("translated_text")
@@ -437,12 +437,13 @@ def flag_vocabularies(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT source_lang, target_lang, s AS source_text, arg_max(o, (created_at, entry_id)) AS translated_text, arg_max(backend_id, (created_at, entry_id)) AS backend_id, min(created_at) AS created_at, max(created_at) AS last_used_at, count(*) AS use_count
+    f"""SELECT source_lang, target_lang, s AS source_text, arg_max(o, (created_at, entry_id)) AS translated_text, arg_max(backend_id, (created_at, entry_id)) AS backend_id, epoch_us(min(created_at)) AS created_us, epoch_us(max(created_at)) AS last_used_us, count(*) AS use_count
     FROM (SELECT *, {strip('source_text')} AS s, {strip('translated_text')} AS o FROM translations) WHERE s <> '' AND o <> '' AND s <> o GROUP BY 1, 2, 3"""
 )
 def memory_upsert(spark: SparkSession, d: str) -> DataFrame:
     """UPS1, UPS5: the memory that results from remembering every translation in time order."""
-    return stores.remember(load(spark, d, "translations"), ["source_lang", "target_lang", "source_text"], ["created_at", "entry_id"])
+    kept = stores.remember(load(spark, d, "translations"), ["source_lang", "target_lang", "source_text"], ["created_at", "entry_id"])
+    return kept.withColumns({"created_us": F.unix_micros("created_at"), "last_used_us": F.unix_micros("last_used_at")}).drop("created_at", "last_used_at")
 
 
 @query(
@@ -626,7 +627,7 @@ def box_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT session_id, hour, tracked, dirty, CASE WHEN tracked <= 0 THEN 'no_tracked' WHEN dirty > 8 THEN 'many_dirty' WHEN rate < 0.65 THEN 'low_match' WHEN since >= 5.0 THEN 'periodic' END AS reason FROM (
+    """SELECT session_id, epoch_us(hour) AS hour_us, tracked, dirty, CASE WHEN tracked <= 0 THEN 'no_tracked' WHEN dirty > 8 THEN 'many_dirty' WHEN rate < 0.65 THEN 'low_match' WHEN since >= 5.0 THEN 'periodic' END AS reason FROM (
       SELECT session_id, date_trunc('hour', last_seen) AS hour, count(DISTINCT id) AS tracked, sum(CASE WHEN change_count > 0 THEN 1 ELSE 0 END)::BIGINT AS dirty, avg(CASE WHEN missing_passes > 0 THEN 0.0 ELSE 1.0 END) AS rate, (epoch_us(max(last_seen)) - epoch_us(min(last_seen))) / 1e6 AS since
       FROM tracked_block WHERE last_seen IS NOT NULL GROUP BY 1, 2)"""
 )
@@ -636,7 +637,7 @@ def reread_reasons(spark: SparkSession, d: str) -> DataFrame:
     g = b.groupBy("session_id", F.date_trunc("hour", "last_seen").alias("hour")).agg(
         F.countDistinct("id").alias("tracked"), F.count_if(F.col("change_count") > 0).alias("dirty"), F.avg(F.when(F.col("missing_passes") > 0, 0.0).otherwise(1.0)).alias("rate"), ((F.unix_micros(F.max("last_seen")) - F.unix_micros(F.min("last_seen"))) / 1e6).alias("since")
     )
-    return g.select("session_id", "hour", "tracked", "dirty", tracking.reread_reason(F.col("tracked"), F.lit(False), F.col("dirty"), F.col("rate"), F.col("since")).alias("reason"))
+    return g.select("session_id", F.unix_micros("hour").alias("hour_us"), "tracked", "dirty", tracking.reread_reason(F.col("tracked"), F.lit(False), F.col("dirty"), F.col("rate"), F.col("since")).alias("reason"))
 
 
 @query(
@@ -651,7 +652,7 @@ def change_classes(spark: SparkSession, d: str) -> DataFrame:
     return b.select("row_id", tracking.change_class(w * h / 2073600.0, F.col("stable_passes"), F.col("change_count"), w * 1.0, F.coalesce("conf", F.lit(0.0)) / 10, F.col("missing_passes") * 1.0).alias("class"))
 
 
-@query("SELECT row_id, row_number() OVER (PARTITION BY session_id, date_trunc('minute', last_seen) ORDER BY floor(box.y1 / 12), box.x1, row_id) AS place, floor(box.y1 / 12)::BIGINT AS band FROM tracked_block WHERE last_seen IS NOT NULL")
+@query("SELECT row_id, row_number() OVER (PARTITION BY session_id, date_trunc('minute', last_seen) ORDER BY floor(box.y1 / 12), box.x1, row_id) ::INT AS place, floor(box.y1 / 12)::BIGINT AS band FROM tracked_block WHERE last_seen IS NOT NULL")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     """WIN1, WIN2: bands of 12 pixels, then from left to right, in each minute of a session."""
     b = load(spark, d, "tracked_block").where("last_seen IS NOT NULL")
@@ -661,8 +662,8 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH x AS (SELECT session_id, date_trunc('minute', last_seen) AS minute, box, lead(box) OVER (PARTITION BY session_id, date_trunc('minute', last_seen) ORDER BY box.y1, box.x1, row_id) AS nb FROM tracked_block WHERE last_seen IS NOT NULL)
-    SELECT session_id, minute, count(*) AS n, min(box.y1) AS top, sum(CASE WHEN nb.y1 - box.y2 > 36 THEN 1 ELSE 0 END)::BIGINT AS big_gaps, sum(greatest(8, box.y2 - box.y1))::BIGINT AS ink,
-      coalesce(quantile_cont(nb.y1 - box.y1, 0.5) FILTER (nb.y1 - box.y1 > 2), 0.0)::DOUBLE AS pitch FROM x GROUP BY 1, 2"""
+    SELECT session_id, epoch_us(minute) AS minute_us, count(*) AS n, min(box.y1) AS top, sum(CASE WHEN nb.y1 - box.y2 > 36 THEN 1 ELSE 0 END)::BIGINT AS big_gaps, sum(greatest(8, box.y2 - box.y1))::BIGINT AS ink,
+      coalesce(quantile_cont(nb.y1 - box.y1, 0.5) FILTER (nb.y1 - box.y1 > 2), 0.0)::DOUBLE AS pitch FROM x GROUP BY session_id, minute"""
 )
 def row_pitch(spark: SparkSession, d: str) -> DataFrame:
     """AGG6, AGG12: gaps, ink and median row pitch of each minute of a session."""
@@ -671,7 +672,7 @@ def row_pitch(spark: SparkSession, d: str) -> DataFrame:
     step = F.col("nb.y1") - F.col("box.y1")
     return x.groupBy("session_id", "minute").agg(
         F.count("*").alias("n"), F.min("box.y1").alias("top"), F.count_if(F.col("nb.y1") - F.col("box.y2") > 36).alias("big_gaps"), F.sum(F.greatest(F.lit(8), boxes.height(F.col("box")))).alias("ink"), F.coalesce(F.percentile(F.when(step > 2, step), F.lit(0.5)), F.lit(0.0)).alias("pitch")
-    )
+    ).withColumn("minute_us", F.unix_micros("minute")).drop("minute")
 
 
 # Telemetry -----------------------------------------------------------------------------------
@@ -814,7 +815,7 @@ _wl = f"regexp_extract_all({_l1}, '[A-Za-z'']+')"
 @query(
     rf"""SELECT row_id, (length({_l1}) BETWEEN 2 AND 32 AND NOT {_spoken(_l1)} AND NOT (regexp_matches({_l1}, '^\p{{Ll}}') AND length({_l1}) >= 8) AND NOT regexp_matches({_l1}, '(?i)\b({labels.BODY_WORDS})\b') AND len({_wl}) BETWEEN 1 AND 4) AS prompt,
       CASE WHEN trim(coalesce(text, '')) = '' THEN -1.0 WHEN regexp_matches(trim(text), '^\d+$') THEN 0.55 WHEN length(trim(text)) <= 4 AND regexp_matches(trim(text), '[0-9]') AND regexp_matches(trim(text), '\p{{L}}') AND NOT contains(trim(text), ' ') THEN 0.05
-        WHEN regexp_matches(trim(text), '^[A-Za-z][A-Za-z''’-]*$') THEN 0.6 WHEN regexp_matches(text, '[ぁ-ゖァ-ヺー一-鿿]') THEN 0.8 ELSE 0.3 END AS plausible,
+        WHEN regexp_matches(trim(text), '^[A-Za-z][A-Za-z''’-]*$') THEN 0.6 WHEN regexp_matches(text, '[ぁ-ゖァ-ヺー一-鿿]') THEN 0.8 ELSE 0.3 END::DOUBLE AS plausible,
       CASE WHEN lower(trim(coalesce(lang, ''))) IN ('ru', 'uk', 'bg', 'sr', 'mk') THEN 'Ур.' ELSE 'Lv.' END AS level_word FROM tracked_block"""
 )
 def label_shapes(spark: SparkSession, d: str) -> DataFrame:
@@ -952,3 +953,59 @@ def finished_frames(spark: SparkSession, d: str) -> DataFrame:
     """WIN28, DED1, DED2: the furthest reads of each frame, distinct, at most 80."""
     a, b = _halves(spark, d)
     return overlap.finish_frame(overlap.longest_reads(a.unionByName(b), _FRAME), _FRAME).select(*_FRAME, "id")
+
+
+# Runs, claims, summaries ---------------------------------------------------------------------
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, pos, CASE WHEN {_spoken("coalesce(line, '')")} THEN 1 ELSE 0 END AS start FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
+      y AS (SELECT doc_id, sum(start) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM x)
+    SELECT doc_id, max(run) AS runs, max(n) AS longest FROM (SELECT doc_id, run, count(*) AS n FROM y GROUP BY 1, 2) GROUP BY 1"""
+)
+def spoken_runs(spark: SparkSession, d: str) -> DataFrame:
+    """WIN14: a spoken line begins a run that lasts until the next one; runs of each document. A document's lines are one window's partition."""
+    lines = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    start = F.when(gates.is_spoken_line(F.col("line")), 1).otherwise(0)
+    runs = lines.withColumn("run", F.sum(start).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "run").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("run").alias("runs"), F.max("n").alias("longest"))
+
+
+_tt = "trim(coalesce(text, ''))"
+
+
+@query(
+    rf"""SELECT row_id FROM tracked_block WHERE coalesce(element_at(params, 'kind')[1], '') IN ('dialogue', 'dialogue-line', 'body') AND {_tt} <> '' AND (length(regexp_replace({_tt}, '[ \t\n\r\f\x0b]+', '', 'g')) >= 12 OR {_spoken(_tt)})
+      AND ({_spoken(_tt)} OR length({_tt}) >= 22 OR regexp_matches({_tt}, '[.!?…]'))"""
+)
+def dialogue_cards(spark: SparkSession, d: str) -> DataFrame:
+    """STM32: blocks of dialogue that are long or punctuated enough to be spoken."""
+    t = F.trim(F.coalesce("text", F.lit("")))
+    spoken = gates.is_spoken_line(t)
+    kind = F.coalesce(F.try_element_at("params", F.lit("kind")), F.lit(""))
+    b = load(spark, d, "tracked_block").where(kind.isin("dialogue", "dialogue-line", "body") & (t != ""))
+    return b.where(((F.length(F.regexp_replace(t, r"\s+", "")) >= 12) | spoken) & (spoken | (F.length(t) >= 22) | t.rlike("[.!?…]"))).select("row_id")
+
+
+@query("SELECT source AS key, arg_min(pack, ordinal) AS owner, count(*) - 1 AS refused FROM terms WHERE source IS NOT NULL GROUP BY 1")
+def first_claims(spark: SparkSession, d: str) -> DataFrame:
+    """CFG5: the first claim of a key holds, later ones are refused; load order decides."""
+    return load(spark, d, "terms").where("source IS NOT NULL").groupBy(F.col("source").alias("key")).agg(F.min_by("pack", "ordinal").alias("owner"), (F.count("*") - 1).alias("refused"))
+
+
+@query("SELECT session_id, arg_min(engine, row_id) FILTER (engine IS NOT NULL) AS engine, arg_min(lang, row_id) FILTER (lang IS NOT NULL) AS lang, sum(change_count)::BIGINT AS changes, sum(seen_passes)::BIGINT AS passes FROM tracked_block GROUP BY 1")
+def merged_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """AGG15, AGG19: summaries of a session merged: counts add up, of other fields the first value stays."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row_id"))).alias(c)
+    return load(spark, d, "tracked_block").groupBy("session_id").agg(first("engine"), first("lang"), F.sum("change_count").alias("changes"), F.sum("seen_passes").alias("passes"))
+
+
+@query(
+    r"""SELECT memory_id, len(p)::INT AS n_prints, array_to_string(list_sort(p), ' ') AS prints FROM (SELECT memory_id, list_distinct(list_filter(list_transform(string_split(source_text, '|'), lambda w: regexp_replace(lower(w), '[^a-z0-9]+', '', 'g')), lambda w: w <> '')) AS p
+      FROM memory WHERE contains(source_text, '|'))"""
+)
+def line_prints(spark: SparkSession, d: str) -> DataFrame:
+    """STR10, AGG18: fingerprints of the parts of pipe-joined lines."""
+    prints = F.array_distinct(F.filter(F.transform(F.split("source_text", r"\|"), lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]+", "")), lambda w: w != ""))
+    rows = load(spark, d, "memory").where(F.contains("source_text", F.lit("|"))).select("memory_id", prints.alias("p"))
+    return rows.select("memory_id", F.size("p").alias("n_prints"), F.array_join(F.array_sort("p"), " ").alias("prints"))
