@@ -162,6 +162,8 @@ def test_disguised_words_come_back():
     for t in texts:
         assert canon.text(t) == (t, False)
     assert canon.text("The river ΤΗΕ road and more") == ("The river THE road and more", True)
+    many = lookalikes.Canon(texts + ["The river ΤΗΕ road and more"] * 500)
+    assert many.text("The river ΤΗΕ road and more") == ("The river THE road and more", True)
     assert canon.text("код T-40b2 и ещё слова") == ("код T-40b2 и ещё слова", False)
     assert canon.text("Первый текст здесь. Second text is here too.") == ("Первый текст здесь. Second text is here too.", False)
 
