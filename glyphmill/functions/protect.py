@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # The shapes of the tokens, and the characters of inner punctuation.
-PATH_TOKEN, NAME_TOKEN, MARK_TOKEN = "\u3010{}\u250f\u3011", "ZZNAME{}ZZ", "__KZT_P{}__"
+PATH_TOKEN, NAME_TOKEN, MARK_TOKEN = "\u3010{}\u250f\u3011", "ZZNAME{}ZZ", "__MARK{}__"
 MARKS = r".!?…~*\-—–「」『』（）()\[\]{},:;"
 _PATH = re.compile(r"(?<![\w./-])(?:~?/?(?:[\w.+-]+/)+[\w.+-]*|\.?[A-Za-z_][\w-]*(?:\.[A-Za-z][\w-]*)*\.[A-Za-z][A-Za-z0-9]{0,7})(?![\w/])")
 _HOST = re.compile(r"^(?:www|https?)\.", re.I)
@@ -65,7 +65,7 @@ def take_marks(text: str | None) -> tuple[str, list[str]]:
         taken.append(m[0])
         return MARK_TOKEN.format(len(taken) - 1)
 
-    return (whole, []) if "__KZT_P" in whole else (_RUN.sub(swap, whole), taken)
+    return (whole, []) if "__MARK" in whole else (_RUN.sub(swap, whole), taken)
 
 
 def _vectorised(rule):

@@ -56,7 +56,7 @@ def test_edges(spark, src, out, want):
 
 
 def test_marked(spark):
-    got = one(spark, text.parse_marked(F.col("t")), t="KZT1 one\nKZT2\nKZT3 three\nKZT1 again")
+    got = one(spark, text.parse_marked(F.col("t")), t="PART1 one\nPART2\nPART3 three\nPART1 again")
     assert [(r["n"], r["body"]) for r in got] == [(1, "one"), (3, "three")]
 
 
