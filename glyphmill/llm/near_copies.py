@@ -37,7 +37,7 @@ from glyphmill.session import materialize
 #: Alikeness from which two texts belong together.
 THRESHOLD = 0.73
 #: Samples in a band, and bands.
-ROWS, BANDS = 7, 12
+ROWS, BANDS = 7, 14
 #: Exponent on the IDF weight.
 SHARPNESS = 1.25
 #: Items in fewer than this share of a language's texts weigh the same.
