@@ -226,7 +226,7 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
       SELECT DISTINCT pack, source || chr(9) || coalesce(target, '') AS line FROM terms WHERE source IS NOT NULL) GROUP BY pack"""
 )
 def glossary_versions(spark: SparkSession, d: str) -> DataFrame:
-    """STR30: fingerprint of each pack's sorted entries."""
+    """STR30: fingerprint of each pack's sorted entries. The digest needs a pack's entries in order and in one place; packs are dictionaries that people write, not corpora."""
     lines = load(spark, d, "terms").where("source IS NOT NULL").select("pack", F.concat("source", F.lit("\t"), F.coalesce("target", F.lit(""))).alias("line")).distinct()
     return lines.groupBy("pack").agg(text.digest(F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("version"))
 
