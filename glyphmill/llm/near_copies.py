@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.session import materialize
@@ -237,10 +237,10 @@ def _sign(weights: dict[str, tuple[np.ndarray, np.ndarray]], rare: float, rows:
 
 def item_weights(sides: DataFrame, sharpness: float, floor: float) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], float]:
     """IDF weights of the items above ``floor`` per language, and the weight of all others."""
-    counts = sides.select("lang", "items").mapInArrow(_count_items, "lang string, item long, df long").groupBy("lang", "item").agg(F.sum("df").alias("df"))
+    counts = materialize(sides.select("lang", "items").mapInArrow(_count_items, "lang string, item long, df long").groupBy("lang", "item").agg(F.sum("df").alias("df")))
     # no item is in more texts than there are, so what passes is bounded by mean items / floor in each language
-    total = F.max(F.when(F.col("item") == -1, F.col("df"))).over(Window.partitionBy("lang").orderBy("item").rowsBetween(Window.unboundedPreceding, 0))
-    often = counts.withColumn("n", total).where("df > n * %r" % floor).where("item >= 0").toPandas()
+    totals = counts.where("item = -1").select("lang", F.col("df").alias("n"))
+    often = counts.where("item >= 0").join(totals, "lang").where(F.col("df") > F.col("n") * floor).toPandas()
     out = {}
     for lang, part in often.sort_values("item").groupby("lang"):
         idf = np.log1p(np.minimum(part["n"].to_numpy(dtype=float) / part["df"].to_numpy(dtype=float), 1 / floor))

@@ -171,9 +171,9 @@ def header_words(pages: DataFrame) -> frozenset[str]:
 
     At most words-per-header / HEADER_SHARE of them exist, whatever the corpus.
     """
-    counts = pages.mapInArrow(_header_counts, "word string, edge long, other long").groupBy("word").agg(F.sum("edge").alias("edge"), F.sum("other").alias("other"))
-    total = counts.where("word = ''").agg(F.coalesce(F.max("edge"), F.lit(0)).alias("pages"))
-    often = counts.join(F.broadcast(total), how="inner", on=F.lit(True)).where((F.col("word") != "") & (F.col("edge") >= F.greatest(F.lit(HEADER_TEXTS), F.col("pages") * HEADER_SHARE)) & (F.col("edge") > 1.5 * F.col("other")))
+    counts = materialize(pages.mapInArrow(_header_counts, "word string, edge long, other long").groupBy("word").agg(F.sum("edge").alias("edge"), F.sum("other").alias("other")))
+    total = counts.where("word = ''").agg(F.max("edge")).first()[0] or 0
+    often = counts.where((F.col("word") != "") & (F.col("edge") >= max(HEADER_TEXTS, total * HEADER_SHARE)) & (F.col("edge") > 1.5 * F.col("other")))
     return frozenset(r["word"] for r in often.select("word").collect())
 
 
