@@ -4,10 +4,13 @@ Each text becomes the set of its items (words, or pairs of characters in
 Japanese and Chinese). Texts with the same set form one class, and only the
 classes are searched:
 
-1. document frequency of every item per language, over all texts;
-2. improved consistent weighted sampling of the sets under damped IDF weights;
-   equal samples occur with the weighted Jaccard similarity as probability;
-3. bands of samples as join keys, one row for each class and band;
+1. frequency of every item over all texts, in a table of hashed items;
+2. the rarest items of each set as join keys: two sets that are alike by the
+   threshold share one of their ``n - ceil(threshold * n) + 1`` rarest items,
+   whatever the order of rarity, so no pair is lost;
+3. of the sets that meet, those that differ too much by the places of the
+   shared item or by the parities of their hashed items are dropped; both
+   bounds are exact;
 4. verification of each candidate pair of classes by weighted Jaccard with
    unit weights, which is the alikeness that TESTDATA.md fixes;
 5. membership joins that turn alike classes into pairs of rows, leaving out
@@ -16,9 +19,13 @@ classes are searched:
 A class is named by a 64-bit hash of its set. Among n classes about n^2 / 2^65
 pairs share a name by chance; these would be taken for one class.
 
-Rare items all get the same weight, so the table of frequencies that goes to
-the executors holds items above a share of the texts only; at most
-``mean items / FLOOR`` of those exist per language, however large the corpus.
+Items that share a place in the table of frequencies only make the order of
+rarity less sharp. With ``rows`` and ``bands`` the search uses improved
+consistent weighted sampling under damped IDF weights instead, which meets
+fewer sets but loses pairs: sets of weighted similarity w meet with probability
+``1 - (1 - w**rows) ** bands``, and edits in rare items make w lower than the
+alikeness. There the table of frequencies holds items above a share of the
+texts only, at most ``mean items / FLOOR`` per language.
 """
 
 from __future__ import annotations
@@ -36,8 +43,8 @@ from glyphmill.session import materialize
 
 #: Alikeness from which two texts belong together.
 THRESHOLD = 0.73
-#: Samples in a band, and bands.
-ROWS, BANDS = 7, 14
+#: Bits of the hash under which items are counted for the order of rarity.
+COUNT_BITS = 20
 #: Exponent on the IDF weight.
 SHARPNESS = 1.25
 #: Items in fewer than this share of a language's texts weigh the same.
@@ -235,6 +242,67 @@ def _sign(weights: dict[str, tuple[np.ndarray, np.ndarray]], rare: float, rows:
     return run
 
 
+def item_counts(sides: DataFrame) -> np.ndarray:
+    """How many texts hold an item, summed by the lowest COUNT_BITS bits of its hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        for b in batches:
+            total += np.bincount(_codes(b.column(0))[0] & np.uint32((1 << COUNT_BITS) - 1), minlength=1 << COUNT_BITS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    seen = sides.select("items").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
+    out[seen["at"].to_numpy(dtype=np.int64)] = np.minimum(seen["n"].to_numpy(dtype=np.int64), 0xFFFFFFFF)
+    return out
+
+
+def _prefixes(counts: np.ndarray, threshold: float):
+    """Classes to a row for each of their rarest items: key, class, size, place of the item, and item parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                yield one(b.slice(at, 2000))
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        cid, pair = b.column(0).to_numpy(), b.column(2).to_numpy().view(np.uint64)
+        flat, size = _codes(b.column(1))
+        owner = np.repeat(np.arange(len(size)), size)
+        code = flat.astype(np.uint64)
+        order = np.lexsort(((counts[flat & np.uint32((1 << COUNT_BITS) - 1)].astype(np.uint64) << np.uint64(32)) | code, owner))
+        start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+        place = np.arange(len(flat)) - np.repeat(start, size)
+        keys = size - np.maximum(np.ceil(threshold * size - 1e-6).astype(np.int64), 1) + 1
+        first = place < np.repeat(keys, size)
+        own = owner[first]
+        with np.errstate(over="ignore"):
+            key = _mix(pair[own] ^ _mix(code[order][first]))
+            spread = _mix(code)
+        bit = np.uint64(1) << (spread & np.uint64(63))
+        upper = (spread >> np.uint64(6)) & np.uint64(1) > 0
+        odd = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), start).view(np.int64)[own] for half in (upper, ~upper)]
+        columns = [key.view(np.int64), cid[own], size[own].astype(np.int32), place[first].astype(np.int32), *odd]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "cid", "n", "at", "odd_a", "odd_b"])
+
+    return run
+
+
+def _meeting(sides: DataFrame, threshold: float) -> DataFrame:
+    """``(ca, cb)``: all pairs of classes that can be alike, once or more often."""
+    keyed = sides.select("cid", "items", "pair").where(F.length("items") > 0).mapInArrow(_prefixes(item_counts(sides), threshold), "band long, cid long, n int, at int, odd_a long, odd_b long")
+    # one exchange serves both sides of the join; copies of a class that several tasks keyed meet and vanish here
+    keyed = keyed.repartition("band").dropDuplicates()
+    left, right = (keyed.select("band", *(F.col(c).alias(c + side) for c in ("cid", "n", "at", "odd_a", "odd_b"))) for side in "lr")
+    both = F.col("nl") + F.col("nr")
+    # after the first shared item no more than the shorter rest can be shared; a parity that differs is an item that isn't
+    enough = F.least(F.col("nl") - F.col("atl"), F.col("nr") - F.col("atr")) >= both * F.lit(threshold / (1 + threshold)) - 1e-6
+    differ = F.bit_count(F.col("odd_al").bitwiseXOR(F.col("odd_ar"))) + F.bit_count(F.col("odd_bl").bitwiseXOR(F.col("odd_br")))
+    near = (F.col("cidl") < F.col("cidr")) & enough & (differ <= both * F.lit((1 - threshold) / (1 + threshold)) + 1e-6)
+    return left.join(right, "band").where(near).select(F.col("cidl").alias("ca"), F.col("cidr").alias("cb"))
+
+
 def item_weights(sides: DataFrame, sharpness: float, floor: float) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], float]:
     """IDF weights of the items above ``floor`` per language, and the weight of all others."""
     counts = materialize(sides.select("lang", "items").mapInArrow(_count_items, "lang string, item long, df long").groupBy("lang", "item").agg(F.sum("df").alias("df")))
@@ -267,8 +335,8 @@ def near_copy_pairs(
     group: Column,
     id_col: str = "memory_id",
     threshold: float = THRESHOLD,
-    rows: int = ROWS,
-    bands: int = BANDS,
+    rows: int | None = None,
+    bands: int | None = None,
     sharpness: float = SHARPNESS,
     floor: float = FLOOR,
 ) -> DataFrame:
@@ -277,18 +345,23 @@ def near_copy_pairs(
     ``df`` needs source_lang, target_lang, source_text and translated_text;
     ``group`` is the key of a row's formatting group, pairs inside of which are
     left out. Null texts and texts without items are alike to nothing; null
-    languages equal each other.
+    languages equal each other. ``rows`` and ``bands`` choose the sampled search,
+    which loses pairs.
     """
     grp = F.xxhash64(F.coalesce(group, F.concat(F.lit("\x00"), F.col(id_col).cast("string"))))
     base = df.select(F.col(id_col).cast("long").alias("row_id"), grp.alias("grp"), "source_lang", "target_lang", "source_text", "translated_text").where("row_id IS NOT NULL")
     sides = materialize(base.mapInArrow(_itemise, "row_id long, grp long, lang string, cid long, pair long, items binary"))
 
-    weights, rare = item_weights(sides, sharpness, floor)
-    banded = sides.select("cid", "lang", "items", "pair").mapInArrow(_sign(weights, rare, rows, bands), "band long, cid long")
-    # one exchange serves both sides of the join; copies of a class that several tasks signed meet and vanish here
-    banded = banded.repartition("band").dropDuplicates(["band", "cid"])
-    left, right = banded.select("band", F.col("cid").alias("ca")), banded.select("band", F.col("cid").alias("cb"))
-    candidates = materialize(left.join(right, "band").where("ca < cb").select("ca", "cb").distinct())
+    if rows and bands:
+        weights, rare = item_weights(sides, sharpness, floor)
+        banded = sides.select("cid", "lang", "items", "pair").mapInArrow(_sign(weights, rare, rows, bands), "band long, cid long")
+        # one exchange serves both sides of the join; copies of a class that several tasks signed meet and vanish here
+        banded = banded.repartition("band").dropDuplicates(["band", "cid"])
+        left, right = banded.select("band", F.col("cid").alias("ca")), banded.select("band", F.col("cid").alias("cb"))
+        met = left.join(right, "band").where("ca < cb").select("ca", "cb")
+    else:
+        met = _meeting(sides, threshold)
+    candidates = materialize(met.distinct())
 
     sets = _only_named(sides.select("cid", "items"), candidates).groupBy("cid").agg(F.first("items").alias("items"))
     both = candidates.join(sets.select(F.col("cid").alias("ca"), F.col("items").alias("ia")), "ca").join(sets.select(F.col("cid").alias("cb"), F.col("items").alias("ib")), "cb")

@@ -73,6 +73,17 @@ def test_near_copies_by_brute_force(spark):
     assert default <= want and len(default & close) >= 0.95 * len(close) > 5
 
 
+def test_near_copies_at_the_threshold(spark):
+    """Edits in rare words only: alike by 17/23 = 0.739, while the shared words stand in every tenth text."""
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(150):
+        base = rng.sample(vocab, 17)
+        rows += [(2 * k + h, " ".join(base + [f"rare{k}x{h}x{j}" for j in range(3)]), f"t{k}h{h}", "en", "ru") for h in (0, 1)]
+    assert {tuple(r) for r in near_copies.near_copy_pairs(memory(spark, rows), group_key()).collect()} == {(2 * k, 2 * k + 1) for k in range(150)}
+
+
 def test_near_copies_hot_copy_group(spark):
     """A text that a third of the rows repeat is one class; pairs stay between formatting groups."""
     rows = [(k, "the same long sentence about a river and a lantern", f"t{k} u{k} v{k}", "en", "ru") for k in range(200)] + [(1000, "the same long sentence about a river and a big lantern", "z", "en", "ru")]
