@@ -420,8 +420,18 @@ _USER = "(SELECT source_text AS source, min(translated_text) AS target FROM memo
     FROM tracked_block b LEFT JOIN {_USER} u ON b.text = u.source LEFT JOIN {_WINNERS} w ON b.text = w.source LEFT JOIN {_WINNERS} k ON regexp_extract(coalesce(b.text, ''), '^(.+?)\s+(\d[\d.,/:]*)$', 1) = k.source"""
 )
 def resolution_chain(spark: SparkSession, d: str) -> DataFrame:
-    """JN3-JN5: user map, lexicon, rules, known term with number, number shapes. The user map is every fiftieth memory row, as a stand-in for a small own dictionary."""
-    user = load(spark, d, "memory").where("memory_id % 50 = 0").select(F.col("source_text").alias("source"), F.col("translated_text").alias("target"))
+    """JN3-JN5: user map, lexicon, rules, known term with number, number shapes. The user map is every fiftieth memory row, as its SQL says; ``resolution_chain_all`` takes all."""
+    return _chain(spark, d, load(spark, d, "memory").where("memory_id % 50 = 0"))
+
+
+@query(_SQL["resolution_chain"].replace("memory_id % 50 = 0 AND ", ""))
+def resolution_chain_all(spark: SparkSession, d: str) -> DataFrame:
+    """JN3-JN5: ``resolution_chain`` with the whole memory as user map."""
+    return _chain(spark, d, load(spark, d, "memory"))
+
+
+def _chain(spark: SparkSession, d: str, memory: DataFrame) -> DataFrame:
+    user = memory.select(F.col("source_text").alias("source"), F.col("translated_text").alias("target"))
     terms = lexicon.distinct_terms(load(spark, d, "terms"))
     done = lexicon.cascade(load(spark, d, "tracked_block").select("row_id", "text"), "text", user, terms, RULES, "Level", "core", True)
     return done.select("row_id", "step", F.when(F.col("step").isin("user", "lexicon", "rule"), F.col("resolved")).alias("resolved"))
@@ -722,6 +732,11 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
 _FRAME = ["session_id", "frame"]
 
 
+def _as_next(lines: DataFrame) -> DataFrame:
+    """Lines under the frame after their own, where they are the frame before."""
+    return lines.withColumn("frame", F.col("frame") + 1)
+
+
 @query()
 def wrapped_lines(spark: SparkSession, d: str) -> DataFrame:
     """WIN1-WIN5: reading order of each frame with soft wraps joined."""
@@ -749,9 +764,9 @@ def changed_regions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def matched_lines(spark: SparkSession, d: str) -> DataFrame:
-    """JN8-JN10: greedy matching of two halves of each frame's blocks by score."""
+    """JN8-JN10: greedy matching of each frame's blocks with those of the frame before it by score."""
     rows = _frames(spark, d).select(*_FRAME, F.col("row_id").alias("id"), "box", "lang", "text")
-    return tracking.match_frames(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), _FRAME)
+    return tracking.match_frames(_as_next(rows), rows, _FRAME)
 
 
 # Reversible rewrites -------------------------------------------------------------------------
@@ -914,9 +929,13 @@ def column_scripts(spark: SparkSession, d: str) -> DataFrame:
 # Two reads of a frame ------------------------------------------------------------------------
 
 
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    return _frames(spark, d).where("box IS NOT NULL").select(*_FRAME, F.col("row_id").alias("id"), "text", "box", "conf")
+
+
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two halves of each frame's blocks, which stand in for two reads of it."""
-    rows = _frames(spark, d).where("box IS NOT NULL").select(*_FRAME, F.col("row_id").alias("id"), "text", "box", "conf")
+    rows = _reads(spark, d)
     return rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
 
 
@@ -934,11 +953,20 @@ def unshared_lines(spark: SparkSession, d: str) -> DataFrame:
     return overlap.without_overlapping(a, b, _FRAME).select("id")
 
 
+@query(
+    _SQL["unshared_lines"].replace(_HALF.format(0), "(SELECT session_id, id // 12 AS frame, row_id AS id, box FROM tracked_block WHERE box IS NOT NULL AND id IS NOT NULL)").replace(_HALF.format(1), "(SELECT session_id, id // 12 + 1 AS frame, box FROM tracked_block WHERE box IS NOT NULL AND id IS NOT NULL)")
+)
+def unshared_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    """JN26, DED11: lines of each frame that no line of the frame before it overlaps."""
+    rows = _reads(spark, d)
+    return overlap.without_overlapping(rows, _as_next(rows), _FRAME).select("id")
+
+
 @query()
 def merged_reads(spark: SparkSession, d: str) -> DataFrame:
-    """JN11, JN12, JN14, DED9: two reads of each frame merged by place, the surer line of each band."""
-    a, b = _halves(spark, d)
-    return overlap.best_in_band(overlap.merge_by_place(a, b, _FRAME), a.where("false"), _FRAME).select(*_FRAME, "id")
+    """JN11, JN12, JN14, DED9: each frame merged by place with the frame before it, the surer line of each band."""
+    rows = _reads(spark, d)
+    return overlap.best_in_band(overlap.merge_by_place(_as_next(rows), rows, _FRAME), rows.where("false"), _FRAME).select(*_FRAME, "id")
 
 
 @query()
