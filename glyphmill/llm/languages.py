@@ -72,7 +72,10 @@ def _slots(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def _plain(text: str) -> str:
-    return text.lower() + "\n"
+    low = text.lower()
+    if len(low) != len(text):  # places must stay those of the text
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low + "\n"
 
 
 class LanguageModel:
@@ -140,6 +143,18 @@ class LanguageModel:
 
         Every text ends a sentence. A sentence that is short or uncertain has the language -1.
         """
+        owner, size, count, z = self._scored(texts)
+        p = self._shares(z)
+        lang, sure = p.argmax(1), p.max(1)
+        lang = np.where((count < LEAST_STRETCH) | (sure < REJECT), -1, lang)
+        return owner, size, count, lang, sure
+
+    def _shares(self, z: np.ndarray) -> np.ndarray:
+        p = np.exp(z - z.max(-1, keepdims=True))
+        return p / p.sum(-1, keepdims=True)
+
+    def _scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, size, letters and logits over the temperature of each sentence; those of a passage are the mean by size."""
         plain = [_plain(t) for t in texts]
         codes, sizes = ngrams.code_points(plain)
         stop = _STOPS[np.minimum(codes, 0xFFFF)]
@@ -149,12 +164,7 @@ class LanguageModel:
         owner = np.searchsorted(np.cumsum(sizes), end, side="left")
         count = ngrams.segment_sums(letters(codes), size)
         z = np.add.reduceat(self._grams(codes), end - size, axis=0) / (size * len(ORDERS))[:, None] + self.bias
-        z /= self.temperature
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        lang, sure = p.argmax(1), p.max(1)
-        lang = np.where((count < LEAST_STRETCH) | (sure < REJECT), -1, lang)
-        return owner, size, count, lang, sure
+        return owner, size, count, z / self.temperature
 
     def languages(self, texts: list[str]) -> list[tuple[int, list[tuple[str, float, int]]]]:
         """Of each text its letters, and its languages with confidence and letters, in order of appearance."""
@@ -178,6 +188,47 @@ class LanguageModel:
         return out
 
 
+    def passages(self, texts: list[str]) -> list[tuple[str | None, float, list[tuple[int, int, str | None, float, int]]]]:
+        """Of each text its language and confidence, and its stretches: start, length, language, confidence and letters.
+
+        Stretches cover the text. A sentence that is short, uncertain or in a
+        language that doesn't count takes the language of the sentence before
+        it, at the beginning of the one after it, and without any the whole
+        text's. Without letters the language is None and the confidence 0.
+        """
+        if not texts:
+            return []
+        owner, size, count, z = self._scored(texts)
+        p = self._shares(z)
+        best = np.where((count < LEAST_STRETCH) | (p.max(1) < REJECT), -1, p.argmax(1))
+        ids = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))).tolist() + [len(owner)]
+        out = []
+        for a, b in zip(ids[:-1], ids[1:]):
+            n, m, own = size[a:b], count[a:b], best[a:b]
+            whole = self._shares(n @ z[a:b] / n.sum())
+            top = int(whole.argmax())
+            if not m.any():
+                out.append((None, 0.0, [(0, int(n.sum()) - 1, None, 0.0, 0)]))
+                continue
+            have = np.bincount(own[own >= 0], weights=m[own >= 0], minlength=len(LANGS))
+            counts = have >= min(LEAST_PASSAGE, have.max()) if (have > 0).sum() > 1 else have > 0
+            named = np.flatnonzero((own >= 0) & counts[own])
+            if len(named):
+                own = own[named[np.maximum(np.searchsorted(named, np.arange(len(own)), side="right") - 1, 0)]]
+            else:
+                own = np.full(len(own), top)
+            cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))).tolist() + [len(own)]
+            at, found = 0, []
+            for i, j in zip(cut[:-1], cut[1:]):
+                long = int(n[i:j].sum())
+                sure = self._shares(n[i:j] @ z[a + i : a + j] / long)[own[i]]
+                # the last sentence holds the line end that was added
+                found.append((at, long - (j == len(own)), LANGS[own[i]], float(sure), int(m[i:j].sum())))
+                at += long
+            out.append((LANGS[top], float(whole[top]), found))
+        return out
+
+
 def sentences_of(text: str) -> list[str]:
     """Sentences of a text with enough letters to tell a language, for the fit; of very long ones the beginning."""
     import re
@@ -227,8 +278,9 @@ def detect(df: DataFrame, model: LanguageModel, id_col: str, label_col: str, tex
     """``(row_id, label, lang, confidence, letters, n_langs, wrong)``: one row for each language of each text.
 
     ``wrong`` tells whether the row's label is missing, names another language,
-    or the text holds several. Null texts and those with fewer than 20 letters
-    have no row.
+    or the text holds several. A text without a sure sentence has the language
+    of the whole; below the rejection level that doesn't contradict a label.
+    Null texts and those with fewer than 20 letters have no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,14 +290,18 @@ def detect(df: DataFrame, model: LanguageModel, id_col: str, label_col: str, tex
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         column = b.column(2).dictionary_encode()
-        found = model.languages([t or "" for t in column.dictionary.to_pylist()])
+        texts = [t or "" for t in column.dictionary.to_pylist()]
+        found = model.languages(texts)
+        unsure = [k for k, (n, langs) in enumerate(found) if n >= LEAST_LETTERS and not langs]
+        for k, (lang, sure, _) in zip(unsure, model.passages([texts[k] for k in unsure])):
+            found[k] = found[k][0], [(lang, sure, found[k][0])]
         out: dict[str, list] = {k: [] for k in ("row_id", "label", "lang", "confidence", "letters", "n_langs", "wrong")}
         for i, label, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), column.indices.to_pylist()):
             n, langs = found[k] if k is not None else (0, [])
-            if n < LEAST_LETTERS or not langs:
+            if n < LEAST_LETTERS:
                 continue
             code = language_code(label)
-            wrong = code is None or len(langs) > 1 or langs[0][0] != code
+            wrong = code is None or len(langs) > 1 or (langs[0][0] != code and langs[0][1] >= REJECT)
             for lang, sure, letters_ in langs:
                 for key, v in zip(out, (i, label, lang, sure, letters_, len(langs), wrong)):
                     out[key].append(v)
@@ -254,3 +310,30 @@ def detect(df: DataFrame, model: LanguageModel, id_col: str, label_col: str, tex
 
     rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(label_col).alias("_label"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, "row_id long, label string, lang string, confidence double, letters int, n_langs int, wrong boolean")
+
+
+def stretches(df: DataFrame, model: LanguageModel, id_col: str, text_col: str) -> DataFrame:
+    """``(row_id, start, length, lang, confidence, letters, text_lang, text_confidence)``: one row for each stretch of each text.
+
+    ``start`` counts code points from 0. Each text that is not null has a row;
+    one without letters has a single stretch with a null language.
+    """
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.float64())
+    names = ["row_id", "start", "length", "lang", "confidence", "letters", "text_lang", "text_confidence"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2500):
+                yield one(b.slice(at, 2500))
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        column = b.column(1).dictionary_encode()
+        found = model.passages(column.dictionary.to_pylist())
+        out = []
+        for i, k in zip(b.column(0).to_pylist(), column.indices.to_pylist()):
+            lang, sure, parts = found[k]
+            out += [(i, *part, lang, sure) for part in parts]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=names)
+
+    rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
+    return rows.mapInArrow(run, "row_id long, start int, length int, lang string, confidence double, letters int, text_lang string, text_confidence double")

@@ -61,9 +61,13 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("share", F.round(F.col("n_cut") / F.col("n_rows"), 6))
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
+def _language_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, languages.LanguageModel]:
     t, b = load(spark, d, "translations"), load(spark, d, "tracked_block")
-    model = languages.fit_model([(t, "source_lang", "source_text"), (b, "lang", "text")])
+    return t, b, languages.fit_model([(t, "source_lang", "source_text"), (b, "lang", "text")])
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    t, b, model = _language_model(spark, d)
     one = languages.detect(t, model, "entry_id", "source_lang", "source_text").select(F.lit("translations").alias("tbl"), "*")
     return one.unionByName(languages.detect(b, model, "row_id", "lang", "text").select(F.lit("tracked_block").alias("tbl"), "*"))
 
@@ -73,7 +77,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_stretches(spark: SparkSession, d: str) -> DataFrame:
-    return _languages(spark, d).select("tbl", "row_id", "lang", F.round("confidence", 3).alias("confidence"), "letters")
+    t, b, model = _language_model(spark, d)
+    one = languages.stretches(t, model, "entry_id", "source_text").select(F.lit("translations").alias("tbl"), "*")
+    both = one.unionByName(languages.stretches(b, model, "row_id", "text").select(F.lit("tracked_block").alias("tbl"), "*"))
+    return both.withColumns({c: F.round(c, 3) for c in ("confidence", "text_confidence")})
 
 
 def _canonical(spark: SparkSession, d: str) -> DataFrame:

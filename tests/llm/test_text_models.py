@@ -5,6 +5,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import bpe, languages, lookalikes, near_copies, packing, residue, responses, scans, truncation
 
@@ -80,6 +81,27 @@ def test_language_model_on_held_out_sentences():
     assert m.languages(["", "12 34"]) == [(0, []), (0, [])]
 
 
+def test_each_stretch_has_a_language(spark):
+    rows = corpus(60)
+    m = languages.train([s for _, s in rows], np.array([languages.LANGS.index(k) for k, _ in rows]))
+    ru, fr = (SENTENCES[k].format(a="Marel", b="Veska") for k in ("ru", "fr"))
+    short = "Да. Нет. Кто там? Иди. Стой. Жди. Всё."
+    texts = [f"{ru} Да. {fr}", "Нет", short, "12 34", "", None, "İİ " + ru, "Да. " + fr]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for r in languages.stretches(df, m, "id", "text").orderBy("row_id", "start").collect():
+        got.setdefault(r["row_id"], []).append(r)
+    assert set(got) == {0, 1, 2, 3, 4, 6, 7}
+    for k, parts in got.items():
+        assert "".join(texts[k][r["start"] : r["start"] + r["length"]] for r in parts) == texts[k]
+    assert [r["lang"] for r in got[0]] == ["ru", "fr"] and texts[0][: got[0][0]["length"]] == f"{ru} Да."
+    assert [r["lang"] for r in got[2]] == ["ru"] and [r["lang"] for r in got[7]] == ["fr"]
+    assert got[1][0]["lang"] is not None and got[1][0]["text_lang"] is not None and 0 < got[1][0]["confidence"] <= 1
+    assert got[3][0]["lang"] is None and got[4][0]["length"] == 0
+    labelled = df.withColumn("label", F.lit(None).cast("string"))
+    assert {(r["row_id"], r["lang"]) for r in languages.detect(labelled, m, "id", "label", "text").where("wrong").collect()} >= {(2, "ru")}
+
+
 @pytest.mark.parametrize("label, want", [("EN", "en"), ("en-US", "en"), ("jpn", "ja"), ("jp", "ja"), ("zh_Hans", "zh"), (" ger ", "de"), ("auto", None), ("", None), (None, None), ("und", None)])
 def test_label_spellings(label, want):
     assert languages.language_code(label) == want
