@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from glyphmill.operators import tracking
 SIDE_GAP, SIDE_LEAST, SIDE_OVERLAP, ABOVE_GAP, ABOVE_MOST, BODY_LENGTH = 1.6, 24.0, 0.35, 1.6, 40.0, 28
 SPOKEN_OVERLAP, DOUBLE_OVERLAP, ECHO_INSIDE, BAND = 0.28, 0.7, 0.8, 16
 
+_marks = re.compile(r"[\s.,!?'\"—–-]+")
+
 
 def _other(df: DataFrame, frame: list[str], names: dict[str, str]) -> DataFrame:
     return df.select(*frame, *(F.col(k).alias(v) for k, v in names.items()))
@@ -40,15 +45,61 @@ def drop_echoes(lines: DataFrame, paragraphs: DataFrame, frame: list[str], liken
     return lines.join(near, [*frame, "id"], "left_anti")
 
 
-def longest_reads(lines: DataFrame, frame: list[str], bands: int = 4) -> DataFrame:
-    """Of paragraphs that start in the same place with the same words, the one that reached furthest.
+def _start_key(t: str) -> str:
+    return _marks.sub("", t).casefold()
+
+
+def _share_start(a: str, b: str) -> bool:
+    shared = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return bool(a and b) and shared >= max(12, int(min(len(a), len(b)) * 0.45))
+
 
-    Same place is a band of pixels of the top edge, same words the first twelve
-    characters of the line form, so the choice is one ranked window.
+def _lines_of(t: str, box: dict | None) -> list[tuple[float, float, str]]:
+    """Top, bottom and key of each line of a block, whose height its lines share evenly."""
+    if box is None or any(box[c] is None for c in ("x1", "y1", "x2", "y2")):
+        return []
+    parts = t.strip("\n").split("\n")
+    step = (box["y2"] - box["y1"]) / len(parts)
+    return [(box["y1"] + k * step, box["y1"] + (k + 1) * step, _start_key(p)) for k, p in enumerate(parts)]
+
+
+def longest_reads(lines: DataFrame, frame: list[str], near: int = 4) -> DataFrame:
+    """Of the reads of each paragraph the one that reached furthest.
+
+    Reads with most lines, then the longest, come first. A read is dropped when
+    its first line lies within ``near`` pixels of a kept one's and shares its
+    start, or when it lies at a line of a kept one (8 pixels about it) and
+    shares that line's start. One frame is compared at a time.
     """
-    start = F.substring(text.line_form(F.col("text")), 1, 12)
-    w = Window.partitionBy(*frame, F.floor(F.col("box.y1") / bands), start).orderBy(F.desc(F.length("text")), "id")
-    return lines.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+    def greedy(part: pa.Table) -> pa.Table:
+        texts = [t or "" for t in part["text"].to_pylist()]
+        ids = part["id"].to_pylist()
+        reads = [_lines_of(t, b) for t, b in zip(texts, part["box"].to_pylist())]
+        kept: list[int] = []
+        for k in sorted(range(len(texts)), key=lambda k: (-len(reads[k]), -len(texts[k]), ids[k] is None, ids[k])):
+            own, key = reads[k], _start_key(texts[k])
+            if not any(own and reads[j] and (_same_read(own, reads[j], near) or _covered(own[0][0], key, reads[j])) for j in kept):
+                kept.append(k)
+        return part.take(sorted(kept))
+
+    return lines.groupBy(*frame).applyInArrow(greedy, lines.schema)
+
+
+def _same_read(a: list[tuple], b: list[tuple], near: int) -> bool:
+    return abs(a[0][0] - b[0][0]) <= near and _share_start(a[0][2], b[0][2])
+
+
+def _covered(y: float, key: str, paragraph: list[tuple]) -> bool:
+    top, bottom, best = min(paragraph, key=lambda p: abs(p[0] - y))
+    return top - 8 <= y <= bottom + 8 and _share_start(key, best)
+
+
+def union_of_halves(first: DataFrame, second: DataFrame, frame: list[str], cell: int = 4) -> DataFrame:
+    """All lines of both halves of a frame, of those that start in one cell of pixels the first, the first half before the second."""
+    both = first.withColumn("_p", F.lit(0)).unionByName(second.withColumn("_p", F.lit(1)))
+    w = Window.partitionBy(*frame, F.floor(F.col("box.x1") / cell), F.floor(F.col("box.y1") / cell)).orderBy("_p", "id")
+    return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_p")
 
 
 def best_in_band(primary: DataFrame, extra: DataFrame, frame: list[str], band: int = BAND) -> DataFrame:

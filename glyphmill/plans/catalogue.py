@@ -929,8 +929,8 @@ def column_scripts(spark: SparkSession, d: str) -> DataFrame:
 # Two reads of a frame ------------------------------------------------------------------------
 
 
-def _reads(spark: SparkSession, d: str) -> DataFrame:
-    return _frames(spark, d).where("box IS NOT NULL").select(*_FRAME, F.col("row_id").alias("id"), "text", "box", "conf")
+def _reads(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return _frames(spark, d).where("box IS NOT NULL").select(*_FRAME, F.col("row_id").alias("id"), "text", "box", "conf", *more)
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -964,9 +964,19 @@ def unshared_lines_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def merged_reads(spark: SparkSession, d: str) -> DataFrame:
-    """JN11, JN12, JN14, DED9: each frame merged by place with the frame before it, the surer line of each band."""
-    rows = _reads(spark, d)
-    return overlap.best_in_band(overlap.merge_by_place(_as_next(rows), rows, _FRAME), rows.where("false"), _FRAME).select(*_FRAME, "id")
+    """JN11, JN12, JN14: each frame merged by place with the frame before it, the surer line of each band, ``tess`` as second read."""
+    rows = _reads(spark, d, "engine")
+    merged = overlap.merge_by_place(_as_next(rows), rows, _FRAME)
+    second = F.coalesce(F.col("engine") == "tess", F.lit(False))
+    return overlap.best_in_band(merged.where(~second), merged.where(second), _FRAME).select(*_FRAME, "id")
+
+
+@query()
+def united_reads(spark: SparkSession, d: str) -> DataFrame:
+    """DED9: the lines of each frame in other languages and in Japanese, one for each cell of 4 pixels."""
+    rows = _reads(spark, d, "lang")
+    japanese = F.coalesce(F.col("lang") == "ja", F.lit(False))
+    return overlap.union_of_halves(rows.where(~japanese), rows.where(japanese), _FRAME).select(*_FRAME, "id")
 
 
 @query()

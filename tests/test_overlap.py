@@ -33,6 +33,22 @@ def test_echoes_and_reads(spark):
     assert ids(overlap.longest_reads(r, ["f"])) == [2, 3]
 
 
+def test_reads_by_the_reference(spark):
+    """Within 4 pixels across a bucket's edge; a start that is too short a share; a line inside a paragraph."""
+    rows = [
+        (1, "The lantern hangs", (0, 3, 90, 12), 0.9), (2, "The lantern hangs on the wall", (0, 4, 90, 13), 0.9),
+        (3, "Veska the merchant buys a boat and sails it down the river", (0, 40, 90, 49), 0.9), (4, "Veska the merchant never came home again, says the old man", (0, 41, 90, 50), 0.9),
+        (5, "First line of the codex\nsecond line of the codex", (0, 100, 90, 120), 0.9), (6, "Second line of the codex", (0, 109, 90, 119), 0.9), (7, "Second thoughts", (0, 110, 90, 119), 0.9),
+    ]
+    assert ids(overlap.longest_reads(df(spark, rows), ["f"])) == [2, 3, 4, 5, 7]
+
+
+def test_union_of_halves(spark):
+    a = df(spark, [(1, "one", (0, 0, 50, 12), 0.1), (2, "two", (100, 0, 150, 12), 0.9)])
+    b = df(spark, [(10, "uno", (3, 3, 52, 13), 0.9), (11, "tres", (4, 0, 50, 12), 0.5), (12, "dos", (100, 4, 150, 16), 0.5)])
+    assert ids(overlap.union_of_halves(a, b, ["f"])) == [1, 2, 11, 12]
+
+
 def test_name_plates(spark):
     a = df(spark, [(1, "Mira", (0, 0, 40, 14), 0.9), (2, "I have seen the lantern on the wall last night", (120, 0, 500, 14), 0.9), (3, "Oak", (0, 100, 40, 114), 0.9), (4, "Nobody crossed the river before the winter storm", (0, 120, 400, 134), 0.9)])
     assert sorted(tuple(r)[1:] for r in overlap.name_plates(a, ["f"]).collect()) == [(1, 2, "side"), (3, 4, "above")]
