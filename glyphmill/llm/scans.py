@@ -31,8 +31,8 @@ WIDEST = 110
 #: A correction's frequency, and how many times more frequent it must be than the misread word.
 LEAST_COUNT, RATIO = 10, 15
 CODE_RANGE = 1289
-#: Texts in whose edge lines a word must stand to be a header word, at least and as a share of the pages.
-HEADER_TEXTS, HEADER_SHARE = 3, 1e-4
+#: Texts in whose edge lines a word must stand to be a header word, at any size of the corpus.
+HEADER_TEXTS = 3
 
 # Shapes that are misread (left) and what they should be (right).
 CONFUSIONS = [
@@ -106,12 +106,19 @@ class Layout:
         for k in range(len(self.lines)):
             if self.margin[k] and self.edge[k]:
                 self.header[k] = True
-            elif not self.number[k] and len(self.lines[k]) <= 60 and not _ENDED.search(self.lines[k]) and not _LABELS.match(self.lines[k]):
+            elif self._may_head(k):
                 words = self.words(k)
                 sure = [w for w in words if w.lower() in known]
                 rest = [w for w in words if w.lower() not in known]
                 self.header[k] = bool(sure) and len(rest) <= 4 and all(len(w) <= 3 or w[0].isupper() or _KANA.match(w) for w in rest)
 
+    def _may_head(self, k: int) -> bool:
+        return not self.number[k] and len(self.lines[k]) <= 60 and not _ENDED.search(self.lines[k]) and not _LABELS.match(self.lines[k])
+
+    def header_candidates(self) -> set[str]:
+        """Words by which a line of the text may turn out to be a header."""
+        return {w.lower() for k in range(len(self.lines)) if self._may_head(k) for w in self.words(k)}
+
     def flow(self) -> tuple[list[str], bool]:
         """The running lines, and whether a word is split at one of their ends."""
         run = [x for k, x in enumerate(self.lines) if not (self.number[k] or self.header[k])]
@@ -166,24 +173,25 @@ def _header_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([edge[w] for w in words], pa.int64()), pa.array([other[w] for w in words], pa.int64())], names=["word", "edge", "other"])
 
 
-def header_words(pages: DataFrame) -> frozenset[str]:
-    """Words of running headers: more often in edge lines than in running lines, in enough pages.
-
-    At most words-per-header / HEADER_SHARE of them exist, whatever the corpus.
-    """
+def header_words(pages: DataFrame) -> DataFrame:
+    """``word``: words of running headers: more often in edge lines than in running lines, in HEADER_TEXTS pages or more."""
     counts = materialize(pages.mapInArrow(_header_counts, "word string, edge long, other long").groupBy("word").agg(F.sum("edge").alias("edge"), F.sum("other").alias("other")))
-    total = counts.where("word = ''").agg(F.max("edge")).first()[0] or 0
-    often = counts.where((F.col("word") != "") & (F.col("edge") >= max(HEADER_TEXTS, total * HEADER_SHARE)) & (F.col("edge") > 1.5 * F.col("other")))
-    return frozenset(r["word"] for r in often.select("word").collect())
+    return counts.where((F.col("edge") >= HEADER_TEXTS) & (F.col("edge") > 1.5 * F.col("other"))).select("word")
+
+
+def _header_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = [sorted(Layout(t).header_candidates()) for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["tbl", "row_id", "words"])
 
 
-def _lay_out(known: frozenset[str]):
+def _lay_out():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             is_page, furniture, split, flow, joints = [], [], [], [], []
-            for t in b.column(2).to_pylist():
+            for t, known in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 page = Layout(t)
-                page.find_headers(known)
+                page.find_headers(frozenset(known or ()))
                 is_page.append(page.is_page())
                 lines, cut = page.flow() if is_page[-1] else ([t], False)
                 furniture.append(is_page[-1] and page.furniture())
@@ -202,7 +210,10 @@ def _lined() -> Column:
 def lay_out(texts: DataFrame) -> DataFrame:
     """``(tbl, row_id, page, furniture, split, flow, joints)`` of each text of enough lines; of one that is no page, ``flow`` is the text."""
     lined = texts.where(_lined()).select("tbl", "row_id", "text")
-    return lined.mapInArrow(_lay_out(header_words(lined)), "tbl string, row_id long, page boolean, furniture boolean, split boolean, flow string, joints array<string>")
+    own = lined.mapInArrow(_header_candidates, "tbl string, row_id long, words array<string>").select("tbl", "row_id", F.explode("words").alias("word"))
+    known = own.join(header_words(lined), "word").groupBy(F.col("tbl").alias("_t"), F.col("row_id").alias("_r")).agg(F.collect_set("word").alias("known"))
+    told = lined.join(known, F.col("tbl").eqNullSafe(F.col("_t")) & F.col("row_id").eqNullSafe(F.col("_r")), "left").select("tbl", "row_id", "text", "known")
+    return told.mapInArrow(_lay_out(), "tbl string, row_id long, page boolean, furniture boolean, split boolean, flow string, joints array<string>")
 
 
 def words_of(text: Column) -> Column:

@@ -190,6 +190,14 @@ def test_disguised_words_come_back():
     assert canon.text("Первый текст здесь. Second text is here too.") == ("Первый текст здесь. Second text is here too.", False)
 
 
+def test_header_of_one_book_in_a_large_corpus(spark):
+    """A header on three of 31,000 pages."""
+    body = "The captain crossed the old bay.\nBefore the storm and he left it\nthe lantern on the wall is near\nthe village market in winter."
+    df = spark.range(31_000).selectExpr("'t' AS tbl", "id AS row_id", f"concat(CASE WHEN id % 10000 = 5 AND id < 30000 THEN 'Zarkon Almanac\\n' ELSE '' END, '{body}') AS text".replace("\n", "\\n"))
+    laid = scans.lay_out(df)
+    assert {r["row_id"] for r in laid.where("page AND furniture").collect()} == {5, 10005, 20005}
+
+
 def test_layout_of_a_page():
     page = "Karth Field Guide\nThe captain crossed the old har-\nbour before the storm and left\n— 12 —\nthe lantern on the wall behind\nthe village market in winter."
     x = scans.Layout(page)
