@@ -3,7 +3,7 @@
 Every record is brought to a canonical text with built-in Spark expressions
 (no Python), hashed to 128 bits, and counted with map-side combining. A second,
 independent 64-bit hash rides in the grouping key, so that two texts whose
-128-bit hashes collide still fall into two groups.
+128-bit hashes collide still fall into two groups, and collisions are counted.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from glyphmill.session import materialize
 
+#: Share of all rows from which a group is joined by broadcast.
+HOT_SHARE = 1 / 1000
+
 # The signs that may stand between the parts of a key, and what may stand in a language part.
 _SIGN = r"\x1f|\|\||\||::|\t"
 _LANG = r"(?:[A-Za-z]{2,3}(?:[-_][A-Za-z0-9]{2,4})?|auto|AUTO|unknown|UNKNOWN)?"
@@ -83,18 +86,31 @@ def groups(prints: DataFrame) -> DataFrame:
     return prints.groupBy("tbl", "h128", "h64").agg(F.min("row_id").alias("kept_id"), F.count("*").alias("n_rows"))
 
 
-def find_copies(prints: DataFrame) -> DataFrame:
+def find_copies(prints: DataFrame, share: float = HOT_SHARE) -> DataFrame:
     """``(tbl, kept_id, copy_id)``: one row for each copy.
 
-    A record that occurs once leaves the aggregate before the join; the join
-    back is on the hash, where adaptive execution splits the partition of a
-    group that holds a large share of the rows.
+    A record that occurs once leaves the aggregate before the join. Groups with
+    more than ``share`` of all rows, ``1 / share`` of them at most, are told to
+    every executor, so that their rows stay where they are read; all others are
+    joined by their hash.
     """
-    many = groups(prints).where("n_rows > 1").select(F.col("tbl").alias("_t"), F.col("h128").alias("_a"), F.col("h64").alias("_b"), "kept_id")
-    hit = prints.join(many, (F.col("h128") == F.col("_a")) & (F.col("h64") == F.col("_b")) & (F.col("tbl") == F.col("_t")))
-    return hit.where("row_id <> kept_id").select("tbl", "kept_id", F.col("row_id").alias("copy_id"))
+    names = {"tbl": "_t", "h128": "_a", "h64": "_b"}
+    many = materialize(groups(prints).where("n_rows > 1").select(*(F.col(c).alias(n) for c, n in names.items()), "kept_id", "n_rows"))
+    level = F.lit(share * prints.count())
+    same = (F.col("h128") == F.col("_a")) & (F.col("h64") == F.col("_b")) & (F.col("tbl") == F.col("_t"))
+    told = prints.join(F.broadcast(many.where(F.col("n_rows") > level)), same, "left")
+    hot = told.where("_t IS NOT NULL").select("tbl", "kept_id", "row_id")
+    rest = told.where("_t IS NULL").select("tbl", "row_id", "h128", "h64").join(many.where(F.col("n_rows") <= level), same).select("tbl", "kept_id", "row_id")
+    return hot.unionByName(rest).where("row_id <> kept_id").select("tbl", "kept_id", F.col("row_id").alias("copy_id"))
 
 
 def collapse(prints: DataFrame) -> DataFrame:
     """``(tbl, kept_id, n_copies)``: one row for each distinct record, with the number of its further copies."""
     return groups(prints).select("tbl", "kept_id", (F.col("n_rows") - 1).alias("n_copies"))
+
+
+def collisions(prints: DataFrame) -> DataFrame:
+    """``(tbl, n_records, n_hashes, n_collisions)``: distinct records, distinct 128-bit hashes, and how many records share one with another."""
+    records = groups(prints).groupBy("tbl", "h128").agg(F.count("*").alias("n"))
+    sums = records.groupBy("tbl").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_hashes"))
+    return sums.withColumn("n_collisions", F.col("n_records") - F.col("n_hashes"))

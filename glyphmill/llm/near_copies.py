@@ -4,28 +4,29 @@ Each text becomes the set of its items (words, or pairs of characters in
 Japanese and Chinese). Texts with the same set form one class, and only the
 classes are searched:
 
-1. frequency of every item over all texts, in a table of hashed items;
-2. the rarest items of each set as join keys: two sets that are alike by the
-   threshold share one of their ``n - ceil(threshold * n) + 1`` rarest items,
-   whatever the order of rarity, so no pair is lost;
-3. of the sets that meet, those that differ too much by the places of the
-   shared item or by the parities of their hashed items are dropped; both
-   bounds are exact;
+1. IDF weights of the items above a share of a language's texts, at most
+   ``mean items / FLOOR`` per language;
+2. improved consistent weighted sampling of each set under damped weights, its
+   samples put into bands;
+3. classes that share a band meet. Bands in which very many classes stand are cut
+   into cells of two blocks, so that no task gets all of one. Of two that meet,
+   those whose items' parities differ too much are dropped at once; that bound is
+   exact;
 4. verification of each candidate pair of classes by weighted Jaccard with
    unit weights, which is the alikeness that TESTDATA.md fixes;
 5. membership joins that turn alike classes into pairs of rows, leaving out
    pairs of the same formatting group.
 
+Two sets of weighted similarity w meet with probability ``1 - (1 - w**ROWS) **
+BANDS``. Edits in rare items make w lower than the alikeness, which is why the
+weights are damped: pairs at the threshold meet with 0.99 and more. With
+``exact`` the candidates come from the rarest items instead: two sets alike by
+the threshold share one of their ``n - ceil(threshold * n) + 1`` rarest items,
+whatever the order of rarity, so that no pair is lost, at a cost that grows with
+the square of the texts where the vocabulary stays the same.
+
 A class is named by a 64-bit hash of its set. Among n classes about n^2 / 2^65
 pairs share a name by chance; these would be taken for one class.
-
-Items that share a place in the table of frequencies only make the order of
-rarity less sharp. With ``rows`` and ``bands`` the search uses improved
-consistent weighted sampling under damped IDF weights instead, which meets
-fewer sets but loses pairs: sets of weighted similarity w meet with probability
-``1 - (1 - w**rows) ** bands``, and edits in rare items make w lower than the
-alikeness. There the table of frequencies holds items above a share of the
-texts only, at most ``mean items / FLOOR`` per language.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.session import materialize
@@ -45,12 +46,16 @@ from glyphmill.session import materialize
 THRESHOLD = 0.73
 #: Bits of the hash under which items are counted for the order of rarity.
 COUNT_BITS = 20
+#: Samples in a band, and bands.
+ROWS, BANDS = 4, 16
 #: Exponent on the IDF weight.
-SHARPNESS = 1.25
+SHARPNESS = 0.5
 #: Items in fewer than this share of a language's texts weigh the same.
-FLOOR = 1 / 50
+FLOOR = 1 / 20
 #: Bits of the filter that keeps sets without a candidate out of the verification.
 FILTER_BITS = 1 << 23
+#: Classes that one block of a crowded band holds, and bits of the hash under which bands are counted.
+BLOCK, SLOT_BITS = 4000, 16
 #: Entries of a worker's memo.
 MEMO_ENTRIES = 60_000
 
@@ -188,7 +193,16 @@ class WeightedSampler:
         return (np.log(c) - r * (level - u[4]) - r).astype(np.float32)
 
 
+def _parities(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each set 56 parities of its hashed items, and in the low byte its size up to 255."""
+    with np.errstate(over="ignore"):
+        bit = np.uint64(1) << (_mix(flat.astype(np.uint64)) % np.uint64(56) + np.uint64(8))
+    start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+    return np.bitwise_xor.reduceat(bit, start) | np.minimum(size, 255).astype(np.uint64)
+
+
 def _sign(weights: dict[str, tuple[np.ndarray, np.ndarray]], rare: float, rows: int, bands: int):
+    """Classes to their parities and one 32-bit key for each band."""
     sampler = WeightedSampler(rows * bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +251,58 @@ def _sign(weights: dict[str, tuple[np.ndarray, np.ndarray]], rare: float, rows:
                 key = _mix(b.column(3).to_numpy()[pick].view(np.uint64)[:, None] + np.arange(bands, dtype=np.uint64)[None] * np.uint64(0x9E3779B9))
                 for k in range(rows):
                     key = _mix(key ^ bits[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(16)).reshape(-1).view(np.int64)), pa.array(np.repeat(cid[pick], bands))], names=["band", "cid"])
+            keys = pa.FixedSizeListArray.from_arrays(pa.array((key >> np.uint64(32)).astype(np.uint32).reshape(-1).view(np.int32)), bands).cast(pa.list_(pa.int32()))
+            parity = _parities(flat_all[np.repeat(langs == lang, sizes)], size)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[pick]), pa.array(parity.view(np.int64)), keys], names=["cid", "parity", "keys"])
 
     return run
 
 
+def _may_be_alike(threshold: float) -> Column:
+    """Exact bounds of two sets ``l`` and ``r`` by their sizes and parities; sets of 255 items and more pass."""
+    n_l, n_r = F.col("parityl").bitwiseAND(F.lit(255)), F.col("parityr").bitwiseAND(F.lit(255))
+    differ = F.bit_count(F.shiftrightunsigned(F.col("parityl").bitwiseXOR(F.col("parityr")), 8))
+    near = (differ <= (n_l + n_r) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6) & (F.least(n_l, n_r) >= F.greatest(n_l, n_r) * F.lit(threshold) - 1e-6)
+    return (F.col("cidl") < F.col("cidr")) & ((n_l == 255) | (n_r == 255) | near)
+
+
+def crowded_slots(signed: DataFrame, block: int, slot_bits: int) -> list[tuple[int, int]]:
+    """``(slot, blocks)`` of the hashed bands that hold more than ``block`` rows beyond twice the mean.
+
+    At most ``2 ** slot_bits`` rows reach the driver, whatever the number of bands.
+    """
+    slot = F.explode("keys").alias("key")
+    seen = signed.select(slot).groupBy(F.expr(f"shiftright(key, {32 - slot_bits})").alias("slot")).agg(F.count("*").alias("n"))
+    mean = F.lit(2 / (1 << slot_bits))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    hot = seen.withColumn("excess", F.col("n") - total * mean).where(F.col("excess") > block)
+    return [(r["slot"], r["blocks"]) for r in hot.select("slot", F.ceil(F.col("excess") / block).cast("int").alias("blocks")).collect()]
+
+
+def _banded_pairs(signed: DataFrame, threshold: float, block: int, slot_bits: int) -> DataFrame:
+    """``(ca, cb)``: the pairs of classes that share a band and can be alike, once or more often."""
+    hot = crowded_slots(signed, block, slot_bits)
+    flat = signed.select(F.explode("keys").alias("key"), "cid", "parity")
+    parts = []
+    if hot:
+        spark = signed.sparkSession
+        slots = F.broadcast(spark.createDataFrame(hot, "slot int, blocks int"))
+        told = flat.join(slots, F.expr(f"shiftright(key, {32 - slot_bits})") == F.col("slot"), "left")
+        flat = told.where("slot IS NULL").select("key", "cid", "parity")
+        # each class of a crowded band stands in one cell for each block of partners, its own block's included
+        own = told.where("slot IS NOT NULL").withColumn("own", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
+        cells = own.select("key", "cid", "parity", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of"))
+        cells = cells.select("key", F.least("own", "of").alias("i"), F.greatest("own", "of").alias("j"), "cid", "parity", "own").repartition("key", "i", "j").dropDuplicates()
+        left, right = (cells.select("key", "i", "j", *(F.col(c).alias(c + side) for c in ("cid", "parity", "own"))) for side in "lr")
+        met = left.join(right, ["key", "i", "j"]).where(_may_be_alike(threshold) & ((F.col("i") == F.col("j")) | (F.col("ownl") != F.col("ownr"))))
+        parts.append(met.select(F.col("cidl").alias("ca"), F.col("cidr").alias("cb")))
+    # one exchange serves both sides of the join; copies of a class that several tasks signed meet and vanish here
+    flat = flat.repartition("key").dropDuplicates()
+    left, right = (flat.select("key", *(F.col(c).alias(c + side) for c in ("cid", "parity"))) for side in "lr")
+    parts.append(left.join(right, "key").where(_may_be_alike(threshold)).select(F.col("cidl").alias("ca"), F.col("cidr").alias("cb")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def item_counts(sides: DataFrame) -> np.ndarray:
     """How many texts hold an item, summed by the lowest COUNT_BITS bits of its hash."""
 
@@ -330,49 +391,68 @@ def _only_named(sets: DataFrame, candidates: DataFrame) -> DataFrame:
     return hit.where("(shiftright(bits, cast(at % 62 as int)) & 1) = 1").select(*sets.columns)
 
 
-def near_copy_pairs(
-    df: DataFrame,
-    group: Column,
-    id_col: str = "memory_id",
-    threshold: float = THRESHOLD,
-    rows: int | None = None,
-    bands: int | None = None,
-    sharpness: float = SHARPNESS,
-    floor: float = FLOOR,
-) -> DataFrame:
-    """``(a, b)``: ids of all pairs of rows, smaller first, that are alike by ``threshold``.
+class NearCopies:
+    """Sides, classes and alike classes of a table, which the results below share.
 
     ``df`` needs source_lang, target_lang, source_text and translated_text;
     ``group`` is the key of a row's formatting group, pairs inside of which are
     left out. Null texts and texts without items are alike to nothing; null
-    languages equal each other. ``rows`` and ``bands`` choose the sampled search,
-    which loses pairs.
+    languages equal each other.
     """
-    grp = F.xxhash64(F.coalesce(group, F.concat(F.lit("\x00"), F.col(id_col).cast("string"))))
-    base = df.select(F.col(id_col).cast("long").alias("row_id"), grp.alias("grp"), "source_lang", "target_lang", "source_text", "translated_text").where("row_id IS NOT NULL")
-    sides = materialize(base.mapInArrow(_itemise, "row_id long, grp long, lang string, cid long, pair long, items binary"))
-
-    if rows and bands:
-        weights, rare = item_weights(sides, sharpness, floor)
-        banded = sides.select("cid", "lang", "items", "pair").mapInArrow(_sign(weights, rare, rows, bands), "band long, cid long")
-        # one exchange serves both sides of the join; copies of a class that several tasks signed meet and vanish here
-        banded = banded.repartition("band").dropDuplicates(["band", "cid"])
-        left, right = banded.select("band", F.col("cid").alias("ca")), banded.select("band", F.col("cid").alias("cb"))
-        met = left.join(right, "band").where("ca < cb").select("ca", "cb")
-    else:
-        met = _meeting(sides, threshold)
-    candidates = materialize(met.distinct())
-
-    sets = _only_named(sides.select("cid", "items"), candidates).groupBy("cid").agg(F.first("items").alias("items"))
-    both = candidates.join(sets.select(F.col("cid").alias("ca"), F.col("items").alias("ia")), "ca").join(sets.select(F.col("cid").alias("cb"), F.col("items").alias("ib")), "cb")
-    alike = both.select("ca", "cb", "ia", "ib").mapInArrow(_verify(threshold), "ca long, cb long")
-
-    # formatting groups inside a class: pairs are formed between groups, never between the rows of one
-    members = sides.select("cid", "grp", "row_id")
-    parts = members.select("cid", "grp").distinct()
-    several = parts.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"))
-    part_a, part_b = (parts.select(F.col("cid").alias(c), F.col("grp").alias(f"g{c}")) for c in ("ca", "cb"))
-    linked = alike.unionByName(several).join(part_a, "ca").join(part_b, "cb").where((F.col("gca") != F.col("gcb")) & ((F.col("ca") != F.col("cb")) | (F.col("gca") < F.col("gcb"))))
-    row_a, row_b = (members.select(F.col("cid").alias(c), F.col("grp").alias(f"g{c}"), F.col("row_id").alias(f"r{c}")) for c in ("ca", "cb"))
-    pairs = linked.select("ca", "gca", "cb", "gcb").join(row_a, ["ca", "gca"]).join(row_b, ["cb", "gcb"])
-    return pairs.select(F.least("rca", "rcb").alias("a"), F.greatest("rca", "rcb").alias("b")).where("a <> b").distinct()
+
+    def __init__(
+        self,
+        df: DataFrame,
+        group: Column,
+        id_col: str = "memory_id",
+        threshold: float = THRESHOLD,
+        rows: int = ROWS,
+        bands: int = BANDS,
+        sharpness: float = SHARPNESS,
+        floor: float = FLOOR,
+        block: int = BLOCK,
+        slot_bits: int = SLOT_BITS,
+        exact: bool = False,
+    ):
+        grp = F.xxhash64(F.coalesce(group, F.concat(F.lit("\x00"), F.col(id_col).cast("string"))))
+        base = df.select(F.col(id_col).cast("long").alias("row_id"), grp.alias("grp"), "source_lang", "target_lang", "source_text", "translated_text").where("row_id IS NOT NULL")
+        self.sides = sides = materialize(base.mapInArrow(_itemise, "row_id long, grp long, lang string, cid long, pair long, items binary"))
+        if exact:
+            met = _meeting(sides, threshold)
+        else:
+            weights, rare = item_weights(sides, sharpness, floor)
+            signed = materialize(sides.select("cid", "lang", "items", "pair").mapInArrow(_sign(weights, rare, rows, bands), "cid long, parity long, keys array<int>"))
+            met = _banded_pairs(signed, threshold, block, slot_bits)
+        candidates = materialize(met.distinct())
+        sets = _only_named(sides.select("cid", "items"), candidates).groupBy("cid").agg(F.first("items").alias("items"))
+        both = candidates.join(sets.select(F.col("cid").alias("ca"), F.col("items").alias("ia")), "ca").join(sets.select(F.col("cid").alias("cb"), F.col("items").alias("ib")), "cb")
+        #: ``(ca, cb)``: the pairs of classes that are alike.
+        self.alike = both.select("ca", "cb", "ia", "ib").mapInArrow(_verify(threshold), "ca long, cb long")
+
+    def pairs(self) -> DataFrame:
+        """``(a, b)``: ids of all pairs of rows, smaller first, that are alike by the threshold."""
+        # formatting groups inside a class: pairs are formed between groups, never between the rows of one
+        members = self.sides.select("cid", "grp", "row_id")
+        parts = members.select("cid", "grp").distinct()
+        several = parts.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"))
+        part_a, part_b = (parts.select(F.col("cid").alias(c), F.col("grp").alias(f"g{c}")) for c in ("ca", "cb"))
+        linked = self.alike.unionByName(several).join(part_a, "ca").join(part_b, "cb").where((F.col("gca") != F.col("gcb")) & ((F.col("ca") != F.col("cb")) | (F.col("gca") < F.col("gcb"))))
+        row_a, row_b = (members.select(F.col("cid").alias(c), F.col("grp").alias(f"g{c}"), F.col("row_id").alias(f"r{c}")) for c in ("ca", "cb"))
+        pairs = linked.select("ca", "gca", "cb", "gcb").join(row_a, ["ca", "gca"]).join(row_b, ["cb", "gcb"])
+        return pairs.select(F.least("rca", "rcb").alias("a"), F.greatest("rca", "rcb").alias("b")).where("a <> b").distinct()
+
+    def links(self) -> DataFrame:
+        """``(class_id, n_rows, n_links)``: of each class its smallest row id, its rows, and how many other classes are alike.
+
+        A row with two texts is a member of two classes, one for each side.
+        Copies are not expanded, so that the result never has more rows than
+        there are texts.
+        """
+        ends = self.alike.select(F.explode(F.array("ca", "cb")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
+        sizes = self.sides.groupBy("cid").agg(F.min("row_id").alias("class_id"), F.count("*").alias("n_rows"))
+        return sizes.join(ends, "cid", "left").select("class_id", "n_rows", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_copy_pairs(df: DataFrame, group: Column, id_col: str = "memory_id", threshold: float = THRESHOLD, **search: object) -> DataFrame:
+    """``(a, b)`` of ``NearCopies``; ``search`` takes its further parameters."""
+    return NearCopies(df, group, id_col, threshold, **search).pairs()

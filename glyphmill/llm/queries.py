@@ -20,6 +20,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("memory_id_a"), F.col("b").alias("memory_id_b"))
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    memory = load(spark, d, "memory")
+    group = copies.memory_key(F.col("source_text"), F.col("source_lang"), F.col("target_lang"))
+    return near_copies.NearCopies(memory, group).links()
+
+
 def _scans(spark: SparkSession, d: str) -> scans.Scans:
     t, m = load(spark, d, "translations"), load(spark, d, "memory")
     one = t.select(F.lit("translations").alias("tbl"), F.col("entry_id").alias("row_id"), F.col("source_text").alias("text"))
@@ -42,6 +48,10 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(copies.all_fingerprints(load(spark, d, "memory"), load(spark, d, "translations")))
 
 
+def p3_collisions(spark: SparkSession, d: str) -> DataFrame:
+    return copies.collisions(copies.all_fingerprints(load(spark, d, "memory"), load(spark, d, "translations")))
+
+
 def _scored_cuts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t, b = load(spark, d, "translations"), load(spark, d, "tracked_block")
     model = truncation.fit([(t, "source_text"), (b, "text")])
@@ -119,6 +129,12 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack_texts(load(spark, d, "documents"), kinds), kinds)
 
 
+def p9_harmonic_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Fill of plain harmonic packing, whose containers hold one class each."""
+    kinds = _kinds(spark, d)
+    return packing.fill(packing.pack_texts(load(spark, d, "documents"), kinds, mixed=False), kinds)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(load(spark, d, "documents")).where("is_residue").select("doc_id")
 
@@ -129,7 +145,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_records, p4_found, p4_shares, p5_found, p5_stretches, p6_found, p6_texts, p7_found, p8_ids, p9_containers, p9_fill, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_texts, p3_found, p3_records, p3_collisions, p4_found, p4_shares, p5_found, p5_stretches, p6_found, p6_texts, p7_found, p8_ids, p9_containers, p9_fill, p9_harmonic_fill, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:

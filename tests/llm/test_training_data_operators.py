@@ -65,23 +65,38 @@ def test_near_copies_by_brute_force(spark):
             rows.append((k, " ".join(edited), " ".join(rng.choice(vocab) for _ in range(20)), "en", "ru"))
     df = memory(spark, rows)
     want = brute_pairs(rows, {r["memory_id"]: r["k"] for r in df.select("memory_id", group_key().alias("k")).collect()})
-    # alike just above the threshold: short bands find nearly all; the default ones trade some of these pairs for fewer candidates
-    got = {tuple(r) for r in near_copies.near_copy_pairs(df, group_key(), rows=3, bands=24).collect()}
-    assert got <= want and len(got) >= 0.99 * len(want) > 20
-    close = {tuple(r) for r in near_copies.near_copy_pairs(df, group_key(), threshold=0.85, rows=3, bands=24).collect()}
-    default = {tuple(r) for r in near_copies.near_copy_pairs(df, group_key()).collect()}
-    assert default <= want and len(default & close) >= 0.95 * len(close) > 5
+    assert {tuple(r) for r in near_copies.near_copy_pairs(df, group_key(), exact=True).collect()} == want
+    # crowded bands in cells of small blocks give the same pairs
+    whole, cells = ({tuple(r) for r in near_copies.near_copy_pairs(df, group_key(), rows=2, bands=24, block=block, slot_bits=4).collect()} for block in (10**9, 8))
+    assert cells == whole <= want and len(whole) >= 0.99 * len(want) > 20
 
 
-def test_near_copies_at_the_threshold(spark):
-    """Edits in rare words only: alike by 17/23 = 0.739, while the shared words stand in every tenth text."""
+def edited_pairs(n, vocab_size=200):
+    """Pairs of texts that are alike by 0.73 to 0.80, with their edits in rare words, while the shared words stand in every tenth text."""
     rng = random.Random(11)
-    vocab = [f"w{k}" for k in range(200)]
+    vocab = [f"w{k}" for k in range(vocab_size)]
     rows = []
-    for k in range(150):
-        base = rng.sample(vocab, 17)
+    for k in range(n):
+        base = rng.sample(vocab, 17 + k % 7)
         rows += [(2 * k + h, " ".join(base + [f"rare{k}x{h}x{j}" for j in range(3)]), f"t{k}h{h}", "en", "ru") for h in (0, 1)]
-    assert {tuple(r) for r in near_copies.near_copy_pairs(memory(spark, rows), group_key()).collect()} == {(2 * k, 2 * k + 1) for k in range(150)}
+    return rows, {(2 * k, 2 * k + 1) for k in range(n)}
+
+
+def test_near_copies_at_the_threshold(spark):
+    rows, want = edited_pairs(150)
+    assert {tuple(r) for r in near_copies.near_copy_pairs(memory(spark, rows), group_key(), exact=True).collect()} == want
+
+
+def test_near_copies_recall_of_the_default_parameters(spark):
+    rows, want = edited_pairs(1500)
+    got = {tuple(r) for r in near_copies.near_copy_pairs(memory(spark, rows), group_key()).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_near_copies_links(spark):
+    rows = [(1, BASE, "x y z", "en", "ru"), (2, BASE + " eleven", "q r s", "en", "ru"), (3, BASE, "x y z", "en", "ru"), (4, None, "", "en", "ru")]
+    got = sorted(tuple(r) for r in near_copies.NearCopies(memory(spark, rows), group_key()).links().collect())
+    assert got == [(1, 2, 0), (1, 2, 1), (2, 1, 0), (2, 1, 1)]
 
 
 def test_near_copies_hot_copy_group(spark):
@@ -100,6 +115,15 @@ def test_copies(spark):
     assert {(1, 3), (20, 21), (23, 24), (10, 11)} <= mem and not {(20, 22), (25, 26), (1, 8)} & mem
     counts = {(r["tbl"], r["kept_id"]): r["n_copies"] for r in copies.collapse(copies.all_fingerprints(m, t)).collect()}
     assert counts["translations", 1] == 3
+    assert {r["tbl"]: r["n_collisions"] for r in copies.collisions(copies.all_fingerprints(m, t)).collect()} == {"memory": 0, "translations": 0}
+
+
+def test_hot_copy_group_runs_in_several_tasks(spark):
+    """Half of all rows in one group: its copies come from as many tasks as read them."""
+    rows = spark.range(0, 40_000, 1, 8).select(F.lit("t").alias("tbl"), F.col("id").alias("row_id"), F.expr("unhex(md5(if(id % 2 = 0, 'hot', cast(id div 4 as string))))").alias("h128"), F.expr("xxhash64(if(id % 2 = 0, 'hot', cast(id div 4 as string)))").alias("h64"))
+    got = copies.find_copies(rows).withColumn("task", F.spark_partition_id()).cache()
+    assert got.count() == got.where("kept_id = 0").count() + 10_000 and got.where("kept_id = 0").count() == 19_999
+    assert got.where("kept_id = 0").select("task").distinct().count() == 8
 
 
 ROWS = [(1, "An ordinary sentence about rivers and lanterns near the village.", "Ein gewöhnlicher Satz über Flüsse und Laternen nahe beim Dorf.", "en", "de"), (2, None, None, None, None), (3, "", "", "", ""), (4, "  ", "\n", "auto", "xx"), (5, LONG, LONG, "en", "de"), (1, "An ordinary sentence about rivers and lanterns near the village.", "x", "en", "de"), (6, "퟿​\u0000é", "日本語", "ja", "ja")]
