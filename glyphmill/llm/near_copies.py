@@ -8,10 +8,11 @@ classes are searched:
    ``mean items / FLOOR`` per language;
 2. improved consistent weighted sampling of each set under damped weights, its
    samples put into bands;
-3. classes that share a band meet. Bands in which very many classes stand are cut
-   into cells of two blocks, so that no task gets all of one. Of two that meet,
-   those whose items' parities differ too much are dropped at once; that bound is
-   exact;
+3. in a band a class stands as a sketch of 120 parities of its hashed items. Bands
+   in which very many sketches stand are cut into cells of two blocks, so that no
+   task gets all of one. Of two sketches that meet, those with too many different
+   parities are dropped at once; that bound is exact, since one odd parity takes
+   one item that isn't shared. Classes of one sketch meet too;
 4. verification of each candidate pair of classes by weighted Jaccard with
    unit weights, which is the alikeness that TESTDATA.md fixes;
 5. membership joins that turn alike classes into pairs of rows, leaving out
@@ -115,7 +116,9 @@ def _itemise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(size) * 4
         cut = lambda data: [data[e - 4 * n : e] for e, n in zip(ends.tolist(), size)]  # noqa: B023, E731
         cid = np.fromiter(map(name, cut(raw), pair_of), dtype=np.uint64, count=len(size)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(row_id, pa.int64()), pa.array(group, pa.int64()), pa.array(lang_of, pa.string()), pa.array(cid), pa.array(np.array(pair_of, dtype=np.uint64).view(np.int64)), pa.array(cut(codes.tobytes()), pa.binary())], names=["row_id", "grp", "lang", "cid", "pair", "items"])
+        pair = np.array(pair_of, dtype=np.uint64)
+        low, high = _sketch(codes, np.array(size, dtype=np.int64), pair)
+        yield pa.RecordBatch.from_arrays([pa.array(row_id, pa.int64()), pa.array(group, pa.int64()), pa.array(lang_of, pa.string()), pa.array(cid), pa.array(pair.view(np.int64)), pa.array(low), pa.array(high), pa.array(cut(codes.tobytes()), pa.binary())], names=["row_id", "grp", "lang", "cid", "pair", "low", "high", "items"])
 
 
 def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +171,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _sketch(flat: np.ndarray, size: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set 56 and 64 parities of its hashed items, turned by the name of its pair; the low byte is its size up to 255."""
+    start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+    with np.errstate(over="ignore"):
+        place = _mix(flat.astype(np.uint64)) % np.uint64(120)
+        bit = np.uint64(1) << ((place + np.uint64(8)) & np.uint64(63))
+        turn = _mix(pair), _mix(pair ^ np.uint64(1))
+    first = place < 56
+    low, high = (np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), start) ^ t for half, t in zip((first, ~first), turn))
+    return ((low & ~np.uint64(255)) | np.minimum(size, 255).astype(np.uint64)).view(np.int64), high.view(np.int64)
+
+
 class WeightedSampler:
     """Improved consistent weighted sampling with the parameters drawn from hashes of the items."""
 
@@ -193,16 +208,8 @@ class WeightedSampler:
         return (np.log(c) - r * (level - u[4]) - r).astype(np.float32)
 
 
-def _parities(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Of each set 56 parities of its hashed items, and in the low byte its size up to 255."""
-    with np.errstate(over="ignore"):
-        bit = np.uint64(1) << (_mix(flat.astype(np.uint64)) % np.uint64(56) + np.uint64(8))
-    start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
-    return np.bitwise_xor.reduceat(bit, start) | np.minimum(size, 255).astype(np.uint64)
-
-
 def _sign(weights: dict[str, tuple[np.ndarray, np.ndarray]], rare: float, rows: int, bands: int):
-    """Classes to their parities and one 32-bit key for each band."""
+    """Classes to their sketches and one 32-bit key for each band."""
     sampler = WeightedSampler(rows * bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +231,6 @@ def _sign(weights: dict[str, tuple[np.ndarray, np.ndarray]], rare: float, rows:
 
     def one(b: pa.RecordBatch, memo: dict) -> Iterator[pa.RecordBatch]:
         langs = np.array(b.column(1).to_pylist(), dtype=object)
-        cid = b.column(0).to_numpy()
         flat_all, sizes = _codes(b.column(2))
         for lang in set(langs):
             pick = np.flatnonzero(langs == lang)
@@ -252,18 +258,18 @@ def _sign(weights: dict[str, tuple[np.ndarray, np.ndarray]], rare: float, rows:
                 for k in range(rows):
                     key = _mix(key ^ bits[:, :, k])
             keys = pa.FixedSizeListArray.from_arrays(pa.array((key >> np.uint64(32)).astype(np.uint32).reshape(-1).view(np.int32)), bands).cast(pa.list_(pa.int32()))
-            parity = _parities(flat_all[np.repeat(langs == lang, sizes)], size)
-            yield pa.RecordBatch.from_arrays([pa.array(cid[pick]), pa.array(parity.view(np.int64)), keys], names=["cid", "parity", "keys"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(pick)) for c in (4, 5)), keys], names=["low", "high", "keys"])
 
     return run
 
 
 def _may_be_alike(threshold: float) -> Column:
-    """Exact bounds of two sets ``l`` and ``r`` by their sizes and parities; sets of 255 items and more pass."""
-    n_l, n_r = F.col("parityl").bitwiseAND(F.lit(255)), F.col("parityr").bitwiseAND(F.lit(255))
-    differ = F.bit_count(F.shiftrightunsigned(F.col("parityl").bitwiseXOR(F.col("parityr")), 8))
+    """Exact bounds of two sketches ``l`` and ``r``, the lesser first; sets of 255 items and more pass."""
+    n_l, n_r = F.col("lowl").bitwiseAND(F.lit(255)), F.col("lowr").bitwiseAND(F.lit(255))
+    differ = F.bit_count(F.shiftrightunsigned(F.col("lowl").bitwiseXOR(F.col("lowr")), 8)) + F.bit_count(F.col("highl").bitwiseXOR(F.col("highr")))
     near = (differ <= (n_l + n_r) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6) & (F.least(n_l, n_r) >= F.greatest(n_l, n_r) * F.lit(threshold) - 1e-6)
-    return (F.col("cidl") < F.col("cidr")) & ((n_l == 255) | (n_r == 255) | near)
+    ordered = (F.col("lowl") < F.col("lowr")) | ((F.col("lowl") == F.col("lowr")) & (F.col("highl") < F.col("highr")))
+    return ordered & ((n_l == 255) | (n_r == 255) | near)
 
 
 def crowded_slots(signed: DataFrame, block: int, slot_bits: int) -> list[tuple[int, int]]:
@@ -280,26 +286,27 @@ def crowded_slots(signed: DataFrame, block: int, slot_bits: int) -> list[tuple[i
 
 
 def _banded_pairs(signed: DataFrame, threshold: float, block: int, slot_bits: int) -> DataFrame:
-    """``(ca, cb)``: the pairs of classes that share a band and can be alike, once or more often."""
+    """``(lowl, highl, lowr, highr)``: the pairs of sketches that share a band and can be alike, once or more often."""
+    ends = ["lowl", "highl", "lowr", "highr"]
     hot = crowded_slots(signed, block, slot_bits)
-    flat = signed.select(F.explode("keys").alias("key"), "cid", "parity")
+    flat = signed.select(F.explode("keys").alias("key"), "low", "high")
     parts = []
     if hot:
         spark = signed.sparkSession
         slots = F.broadcast(spark.createDataFrame(hot, "slot int, blocks int"))
         told = flat.join(slots, F.expr(f"shiftright(key, {32 - slot_bits})") == F.col("slot"), "left")
-        flat = told.where("slot IS NULL").select("key", "cid", "parity")
+        flat = told.where("slot IS NULL").select("key", "low", "high")
         # each class of a crowded band stands in one cell for each block of partners, its own block's included
-        own = told.where("slot IS NOT NULL").withColumn("own", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
-        cells = own.select("key", "cid", "parity", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of"))
-        cells = cells.select("key", F.least("own", "of").alias("i"), F.greatest("own", "of").alias("j"), "cid", "parity", "own").repartition("key", "i", "j").dropDuplicates()
-        left, right = (cells.select("key", "i", "j", *(F.col(c).alias(c + side) for c in ("cid", "parity", "own"))) for side in "lr")
+        own = told.where("slot IS NOT NULL").withColumn("own", F.expr("cast(pmod(xxhash64(low, high), blocks) as int)"))
+        cells = own.select("key", "low", "high", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of"))
+        cells = cells.select("key", F.least("own", "of").alias("i"), F.greatest("own", "of").alias("j"), "low", "high", "own").repartition("key", "i", "j").dropDuplicates()
+        left, right = (cells.select("key", "i", "j", *(F.col(c).alias(c + side) for c in ("low", "high", "own"))) for side in "lr")
         met = left.join(right, ["key", "i", "j"]).where(_may_be_alike(threshold) & ((F.col("i") == F.col("j")) | (F.col("ownl") != F.col("ownr"))))
-        parts.append(met.select(F.col("cidl").alias("ca"), F.col("cidr").alias("cb")))
-    # one exchange serves both sides of the join; copies of a class that several tasks signed meet and vanish here
+        parts.append(met.select(*ends))
+    # one exchange serves both sides of the join; a sketch that several tasks signed meets its copies and they vanish here
     flat = flat.repartition("key").dropDuplicates()
-    left, right = (flat.select("key", *(F.col(c).alias(c + side) for c in ("cid", "parity"))) for side in "lr")
-    parts.append(left.join(right, "key").where(_may_be_alike(threshold)).select(F.col("cidl").alias("ca"), F.col("cidr").alias("cb")))
+    left, right = (flat.select("key", *(F.col(c).alias(c + side) for c in ("low", "high"))) for side in "lr")
+    parts.append(left.join(right, "key").where(_may_be_alike(threshold)).select(*ends))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -351,7 +358,7 @@ def _prefixes(counts: np.ndarray, threshold: float):
 
 
 def _meeting(sides: DataFrame, threshold: float) -> DataFrame:
-    """``(ca, cb)``: all pairs of classes that can be alike, once or more often."""
+    """``(cidl, cidr)``: all pairs of classes that can be alike, once or more often."""
     keyed = sides.select("cid", "items", "pair").where(F.length("items") > 0).mapInArrow(_prefixes(item_counts(sides), threshold), "band long, cid long, n int, at int, odd_a long, odd_b long")
     # one exchange serves both sides of the join; copies of a class that several tasks keyed meet and vanish here
     keyed = keyed.repartition("band").dropDuplicates()
@@ -361,7 +368,7 @@ def _meeting(sides: DataFrame, threshold: float) -> DataFrame:
     enough = F.least(F.col("nl") - F.col("atl"), F.col("nr") - F.col("atr")) >= both * F.lit(threshold / (1 + threshold)) - 1e-6
     differ = F.bit_count(F.col("odd_al").bitwiseXOR(F.col("odd_ar"))) + F.bit_count(F.col("odd_bl").bitwiseXOR(F.col("odd_br")))
     near = (F.col("cidl") < F.col("cidr")) & enough & (differ <= both * F.lit((1 - threshold) / (1 + threshold)) + 1e-6)
-    return left.join(right, "band").where(near).select(F.col("cidl").alias("ca"), F.col("cidr").alias("cb"))
+    return left.join(right, "band").where(near).select("cidl", "cidr")
 
 
 def item_weights(sides: DataFrame, sharpness: float, floor: float) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], float]:
@@ -377,20 +384,30 @@ def item_weights(sides: DataFrame, sharpness: float, floor: float) -> tuple[dict
     return out, float(np.log1p(1 / floor) ** sharpness)
 
 
-def _only_named(sets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Drops most sets that no candidate pair names, before they are shuffled.
+def _named(sets: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """Drops most sets that no row of ``names`` has, before they are shuffled.
 
     A bitmap of FILTER_BITS hashed names, at most FILTER_BITS / 62 rows, goes to
     all executors. When the corpus outgrows it, it lets more sets pass, and the
     result stays the same.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    names = candidates.select(F.explode(F.array("ca", "cb")).alias("c")).select(place("c").alias("at"))
-    words = names.groupBy(F.expr("at div 62").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 62 as int)))").alias("bits"))
-    hit = sets.withColumn("at", place("cid")).withColumn("word", F.expr("at div 62")).join(F.broadcast(words), "word")
+    place = F.pmod(F.xxhash64(*by), F.lit(FILTER_BITS)).alias("at")
+    words = names.select(place).groupBy(F.expr("at div 62").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 62 as int)))").alias("bits"))
+    hit = sets.withColumn("at", place).withColumn("word", F.expr("at div 62")).join(F.broadcast(words), "word")
     return hit.where("(shiftright(bits, cast(at % 62 as int)) & 1) = 1").select(*sets.columns)
 
 
+def _verified(sides: DataFrame, candidates: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """``(ca, cb)``: the classes of each candidate pair of names ``by`` that are alike."""
+    ends = {side: [c + side for c in by] for side in "lr"}
+    names = candidates.select(F.explode(F.array(*(F.struct(*(F.col(e).alias(c) for c, e in zip(by, ends[side]))) for side in "lr"))).alias("x")).select("x.*")
+    rest = [c for c in ("cid", "pair", "items") if c not in by]
+    sets = _named(sides.select(*by, *rest), names, by).groupBy("cid").agg(*(F.first(c).alias(c) for c in [*by, *rest] if c != "cid"))
+    left, right = (sets.select(*(F.col(c).alias(e) for c, e in zip(by, ends[side])), *(F.col(c).alias(c + side) for c in rest)) for side in "lr")
+    both = candidates.join(left, ends["l"]).join(right, ends["r"]).where("pairl = pairr")
+    return both.select(F.least("cidl", "cidr").alias("ca"), F.greatest("cidl", "cidr").alias("cb"), "itemsl", "itemsr").where("ca <> cb").mapInArrow(_verify(threshold), "ca long, cb long")
+
+
 class NearCopies:
     """Sides, classes and alike classes of a table, which the results below share.
 
@@ -416,18 +433,16 @@ class NearCopies:
     ):
         grp = F.xxhash64(F.coalesce(group, F.concat(F.lit("\x00"), F.col(id_col).cast("string"))))
         base = df.select(F.col(id_col).cast("long").alias("row_id"), grp.alias("grp"), "source_lang", "target_lang", "source_text", "translated_text").where("row_id IS NOT NULL")
-        self.sides = sides = materialize(base.mapInArrow(_itemise, "row_id long, grp long, lang string, cid long, pair long, items binary"))
+        self.sides = sides = materialize(base.mapInArrow(_itemise, "row_id long, grp long, lang string, cid long, pair long, low long, high long, items binary"))
         if exact:
-            met = _meeting(sides, threshold)
+            #: ``(ca, cb)``: the pairs of classes that are alike.
+            self.alike = _verified(sides, materialize(_meeting(sides, threshold).distinct()), ["cid"], threshold)
         else:
             weights, rare = item_weights(sides, sharpness, floor)
-            signed = materialize(sides.select("cid", "lang", "items", "pair").mapInArrow(_sign(weights, rare, rows, bands), "cid long, parity long, keys array<int>"))
-            met = _banded_pairs(signed, threshold, block, slot_bits)
-        candidates = materialize(met.distinct())
-        sets = _only_named(sides.select("cid", "items"), candidates).groupBy("cid").agg(F.first("items").alias("items"))
-        both = candidates.join(sets.select(F.col("cid").alias("ca"), F.col("items").alias("ia")), "ca").join(sets.select(F.col("cid").alias("cb"), F.col("items").alias("ib")), "cb")
-        #: ``(ca, cb)``: the pairs of classes that are alike.
-        self.alike = both.select("ca", "cb", "ia", "ib").mapInArrow(_verify(threshold), "ca long, cb long")
+            signed = materialize(sides.select("cid", "lang", "items", "pair", "low", "high").mapInArrow(_sign(weights, rare, rows, bands), "low long, high long, keys array<int>"))
+            twins = sides.select("low", "high", "cid").distinct().groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1")
+            met = _banded_pairs(signed, threshold, block, slot_bits).distinct().unionByName(twins.select(F.col("low").alias("lowl"), F.col("high").alias("highl"), F.col("low").alias("lowr"), F.col("high").alias("highr")))
+            self.alike = _verified(sides, materialize(met), ["low", "high"], threshold).distinct()
 
     def pairs(self) -> DataFrame:
         """``(a, b)``: ids of all pairs of rows, smaller first, that are alike by the threshold."""
