@@ -277,8 +277,15 @@ def crowded_slots(signed: DataFrame, block: int, slot_bits: int) -> list[tuple[i
 
     At most ``2 ** slot_bits`` rows reach the driver, whatever the number of bands.
     """
-    slot = F.explode("keys").alias("key")
-    seen = signed.select(slot).groupBy(F.expr(f"shiftright(key, {32 - slot_bits})").alias("slot")).agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << slot_bits, dtype=np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy().view(np.uint32) >> np.uint32(32 - slot_bits), minlength=1 << slot_bits)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+    seen = signed.select("keys").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     mean = F.lit(2 / (1 << slot_bits))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     hot = seen.withColumn("excess", F.col("n") - total * mean).where(F.col("excess") > block)
@@ -294,7 +301,7 @@ def _banded_pairs(signed: DataFrame, threshold: float, block: int, slot_bits: in
     if hot:
         spark = signed.sparkSession
         slots = F.broadcast(spark.createDataFrame(hot, "slot int, blocks int"))
-        told = flat.join(slots, F.expr(f"shiftright(key, {32 - slot_bits})") == F.col("slot"), "left")
+        told = flat.join(slots, F.expr(f"shiftrightunsigned(key, {32 - slot_bits})") == F.col("slot"), "left")
         flat = told.where("slot IS NULL").select("key", "low", "high")
         # each class of a crowded band stands in one cell for each block of partners, its own block's included
         own = told.where("slot IS NOT NULL").withColumn("own", F.expr("cast(pmod(xxhash64(low, high), blocks) as int)"))
@@ -405,7 +412,12 @@ def _verified(sides: DataFrame, candidates: DataFrame, by: list[str], threshold:
     sets = _named(sides.select(*by, *rest), names, by).groupBy("cid").agg(*(F.first(c).alias(c) for c in [*by, *rest] if c != "cid"))
     left, right = (sets.select(*(F.col(c).alias(e) for c, e in zip(by, ends[side])), *(F.col(c).alias(c + side) for c in rest)) for side in "lr")
     both = candidates.join(left, ends["l"]).join(right, ends["r"]).where("pairl = pairr")
-    return both.select(F.least("cidl", "cidr").alias("ca"), F.greatest("cidl", "cidr").alias("cb"), "itemsl", "itemsr").where("ca <> cb").mapInArrow(_verify(threshold), "ca long, cb long")
+    # two classes of one name meet twice, in either order
+    same = F.lit(True)
+    for l, r in zip(ends["l"], ends["r"]):
+        same &= F.col(l) == F.col(r)
+    both = both.where(~same | (F.col("cidl") < F.col("cidr")))
+    return both.select(F.least("cidl", "cidr").alias("ca"), F.greatest("cidl", "cidr").alias("cb"), "itemsl", "itemsr").mapInArrow(_verify(threshold), "ca long, cb long")
 
 
 class NearCopies:
@@ -440,9 +452,9 @@ class NearCopies:
         else:
             weights, rare = item_weights(sides, sharpness, floor)
             signed = materialize(sides.select("cid", "lang", "items", "pair", "low", "high").mapInArrow(_sign(weights, rare, rows, bands), "low long, high long, keys array<int>"))
-            twins = sides.select("low", "high", "cid").distinct().groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1")
+            twins = sides.groupBy("low", "high").agg(F.min("cid").alias("one"), F.max("cid").alias("two")).where("one <> two")
             met = _banded_pairs(signed, threshold, block, slot_bits).distinct().unionByName(twins.select(F.col("low").alias("lowl"), F.col("high").alias("highl"), F.col("low").alias("lowr"), F.col("high").alias("highr")))
-            self.alike = _verified(sides, materialize(met), ["low", "high"], threshold).distinct()
+            self.alike = _verified(sides, materialize(met), ["low", "high"], threshold)
 
     def pairs(self) -> DataFrame:
         """``(a, b)``: ids of all pairs of rows, smaller first, that are alike by the threshold."""
