@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,43 @@ def test_responses():
     got = m.defects([src] * 8, [en, None, " … ", src.upper(), "Sorry, I'm unable to help with that request. [P903]", ru, "I'm sorry", en], ["en", "en", "en", "en", "en", "en", None, "xx"])
     assert got[:6] == [None, "empty", "empty", "copy", "refusal", "wrong_language"]
     assert m.defects(["Altar 1057"], ["Altar 1057"], ["de"]) == [None]
+
+
+# Refusals in wordings of their own, of which none is built from the grammar's parts.
+UNSEEN_REFUSALS = {
+    "en": ["I'm afraid I am unable to translate this passage.", "Regrettably, I can't provide a translation of this.", "I must say no: I cannot help you translate it."],
+    "ru": ["К сожалению, перевести это я не смогу.", "Простите, я не имею права переводить такое.", "Я не смогу вам помочь с таким переводом."],
+    "de": ["Leider kann ich Ihnen das nicht übersetzen.", "Verzeihung, aber diesen Inhalt darf ich nicht bearbeiten.", "Es ist mir nicht möglich, dabei zu helfen."],
+    "fr": ["Malheureusement, je ne suis pas en mesure de vous aider.", "Désolé, je ne peux pas traduire cela.", "Je suis navré, mais ce contenu ne peut pas être traité."],
+    "es": ["Lo lamento, pero no soy capaz de traducir esto.", "Por desgracia, no puedo ayudarle con eso.", "Me resulta imposible procesar este contenido."],
+    "ja": ["すみませんが、これを訳すことはできません。", "残念ですが、お手伝いできません。", "申し訳ないのですが、ご要望にはお応えしかねます。"],
+    "zh": ["很抱歉，我不能翻译这样的内容。", "遗憾的是，我无法帮助您处理。", "请原谅，我没有办法提供翻译。"],
+    "ko": ["죄송하지만 이것을 번역해 드릴 수 없습니다.", "아쉽게도 도움을 드릴 수 없습니다.", "이런 요청은 처리할 수 없습니다."],
+}
+
+
+def test_refusals_in_unseen_wordings(small):
+    targets = sorted({t for t in pq.read_table(f"{small}/translations.parquet").to_pydict()["translated_text"] if t})
+    model = responses.RefusalModel(targets)
+    assert not {t.lower() for ts in UNSEEN_REFUSALS.values() for t in ts} & {t.lower() for t in responses.REFUSALS}
+    for lang, texts in UNSEEN_REFUSALS.items():
+        share = model.share(texts)
+        assert (share >= responses.REFUSING).mean() >= 0.95, (lang, share)
+
+
+def test_refusals_are_learnt_from_the_corpus(spark):
+    prompts = ["A river runs past the old mill.", "Bring ten ropes to the harbour guard!", "Whoever holds the bell may open the gate.", "Snow fell on the market all night."]
+    said = [(p, "Nope, the oracle stays silent today [C12]", "en") for p in prompts] + [(f"{p} {k}", "Der Fluss fließt an der alten Mühle vorbei.", "de") for k in range(4) for p in prompts[:1]] + [(None, None, None), ("x", "", "en")]
+    df = spark.createDataFrame(said, "source_text string, translated_text string, target_lang string")
+    assert responses.repeated_responses(df) == ["nope, the oracle stays silent today"]
+    assert responses.repeated_responses(df.where("false")) == []
+
+
+def test_residue_is_learnt_from_the_corpus(spark):
+    notice = "Oops, the gremlins chewed this parchment"
+    rng = random.Random(4)
+    words = "road village bread bridge town river harbour lantern winter storm soldier merchant takes builds crosses finds follows carries the a an old long quiet and with under past".split()
+    docs = [f"{notice}\nCode {k}" for k in range(5)] + [". ".join(" ".join(rng.choice(words) for _ in range(9)) for _ in range(8)) for _ in range(60)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert "oops, the gremlins chewed this parchment" in residue.dominant_windows(df)
+    assert {r["doc_id"] for r in residue.find_residue(df).where("is_residue").collect()} == set(range(5))
