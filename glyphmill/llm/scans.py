@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from glyphmill.session import materialize
 
-#: Lines from which a text may be a page, and the share of its lines that must be full.
-LEAST_LINES, FULL = 4, 0.5
-#: Characters of the widest page; lines beyond it were not broken by a page's width.
-WIDEST = 110
+#: Lines from which a text may be a page; lines from which its shape alone tells, and the share of its lines that must be full.
+LEAST_LINES, SHAPED_LINES, FULL = 2, 4, 0.5
+#: Letters of the longest word whose anagram hash fits.
+LONGEST_WORD = 1000
 #: A correction's frequency, and how many times more frequent it must be than the misread word.
 LEAST_COUNT, RATIO = 10, 15
 CODE_RANGE = 1289
@@ -89,16 +89,25 @@ class Layout:
         return 1 if _WIDE.match(line) else 1 + len(line.split(" ", 1)[0])
 
     def is_page(self) -> bool:
-        """Whether the running lines are broken by width, as a page's are."""
+        """Whether the running lines are broken by width, as a page's are; two or three lines need a split word or a page number besides."""
         run = [x for k, x in enumerate(self.lines) if not (self.number[k] or self.margin[k] or self.header[k])]
-        if len(self.lines) < LEAST_LINES or len(run) < 3 or self.width < 16:
+        if len(self.lines) < LEAST_LINES or self.width < 16:
+            return False
+        if len(self.lines) < SHAPED_LINES:
+            return self._is_short_page(run)
+        if len(run) < 3:
             return False
         width = sorted(map(len, run))[int(0.9 * (len(run) - 1))]
-        if width > WIDEST or sum(bool(_ENDED.search(x)) for x in run[:-1]) > 0.5 * (len(run) - 1):
+        if sum(bool(_ENDED.search(x)) for x in run[:-1]) > 0.5 * (len(run) - 1):
             return False
         full = sum(bool(_SPLIT.search(a)) or len(a) + self._first(b) >= width - 3 for a, b in zip(run, run[1:]))
         return full >= FULL * (len(run) - 1)
 
+    def _is_short_page(self, run: list[str]) -> bool:
+        split = any(_SPLIT.search(a) and b[:1].islower() for a, b in zip(run, run[1:]))
+        numbered = (self.number[0] or self.number[-1]) and len(run) >= 2 and len(run[0]) + self._first(run[1]) >= self.width - 3 and not _ENDED.search(run[0])
+        return split or numbered
+
     def words(self, k: int) -> list[str]:
         return _TOKEN.findall(_MARGIN.sub("", self.lines[k]))
 
@@ -243,7 +252,7 @@ def vocabulary(texts: DataFrame, laid: DataFrame) -> DataFrame:
     """``(word, n, in_pages)``: how often each word occurs, in all texts and in pages. Only counts are shuffled."""
     plain = texts.where(~_lined()).select(F.explode(words_of(F.col("text"))).alias("word"), F.lit(0).alias("p"))
     lined = laid.select(F.explode(words_of(F.col("flow"))).alias("word"), F.col("page").cast("int").alias("p"))
-    return plain.unionByName(lined).where("length(word) BETWEEN 2 AND 30 AND word RLIKE '[^0-9!|]'").groupBy("word").agg(F.count("*").alias("n"), F.sum("p").alias("in_pages"))
+    return plain.unionByName(lined).where(f"length(word) BETWEEN 2 AND {LONGEST_WORD} AND word RLIKE '[^0-9!|]'").groupBy("word").agg(F.count("*").alias("n"), F.sum("p").alias("in_pages"))
 
 
 def corrections(words: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Models and rules of the text operators: exact round trips, brute force, held-out accuracy."""
 
 import random
+import textwrap
 import unicodedata
 
 import numpy as np
@@ -278,3 +279,17 @@ def test_residue_is_learnt_from_the_corpus(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     assert "oops, the gremlins chewed this parchment" in residue.dominant_windows(df)
     assert {r["doc_id"] for r in residue.find_residue(df).where("is_residue").collect()} == set(range(5))
+
+
+@pytest.mark.parametrize("width", [60, 100, 112, 120, 200])
+def test_pages_of_any_width(width):
+    text = "The captain crossed the old harbour before the storm and left one lantern on the wall behind the village market while nobody in the whole town had seen the ship that came from the northern islands " * 8
+    assert scans.Layout("\n".join(textwrap.wrap(text, width)) + "\n- 12 -").is_page()
+
+
+def test_short_pages():
+    page = scans.Layout("The merchant carried the heavy lan-\ntern down to the river and\n- 7 -")
+    assert page.is_page() and page.flow()[1] and page.furniture()
+    assert scans.Layout("The merchant carried the heavy lan-\ntern down to the river").is_page()
+    assert not scans.Layout("A short title\nThen one sentence that stands alone.").is_page()
+    assert not scans.Layout("Mira Oak\nHP 5\nLV 3/12").is_page()
