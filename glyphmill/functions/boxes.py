@@ -78,6 +78,10 @@ def moved(b: Column, dx: int = 0, dy: int = 0) -> Column:
     return F.struct((b["x1"] + dx).alias("x1"), (b["y1"] + dy).alias("y1"), (b["x2"] + dx).alias("x2"), (b["y2"] + dy).alias("y2"))
 
 
+def scaled_down(b: Column, scale: int) -> Column:
+    return F.struct(*(F.floor(b[k] / scale).cast("int").alias(k) for k in ("x1", "y1", "x2", "y2")))
+
+
 def distance(a: Column, b: Column) -> Column:
     """Distance of the nearest points; 0 for boxes that touch."""
     dx = F.greatest(F.lit(0), a["x1"] - b["x2"], b["x1"] - a["x2"])

@@ -1047,3 +1047,6 @@ def line_prints(spark: SparkSession, d: str) -> DataFrame:
     prints = F.array_distinct(F.filter(F.transform(F.split("source_text", r"\|"), lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]+", "")), lambda w: w != ""))
     rows = load(spark, d, "memory").where(F.contains("source_text", F.lit("|"))).select("memory_id", prints.alias("p"))
     return rows.select("memory_id", F.size("p").alias("n_prints"), F.array_join(F.array_sort("p"), " ").alias("prints"))
+
+
+from glyphmill.plans import line_rules, readers  # noqa: E402, F401  register their queries

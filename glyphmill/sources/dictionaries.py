@@ -44,8 +44,13 @@ def read_speakers(spark: SparkSession, path: str, pack: str) -> DataFrame:
 
 def read_rules(path: str, pack: str) -> list[Rule]:
     """Tab-separated rules: pattern, replacement, scope, priority. A pattern that is refused fails the load."""
+    return parse_rules(Path(path).read_text(encoding="utf-8").splitlines(), pack)
+
+
+def parse_rules(lines: list[str], pack: str) -> list[Rule]:
+    """The rules of a file's lines; a header and short lines are skipped, a bad priority is 0, a repeated pattern keeps its first rule."""
     out = []
-    for k, line in enumerate(Path(path).read_text(encoding="utf-8").splitlines()):
+    for k, line in enumerate(lines):
         parts = line.split("\t")
         if len(parts) < 4 or (k == 0 and parts[0].lower() == "pattern"):
             continue
@@ -60,8 +65,16 @@ def read_rules(path: str, pack: str) -> list[Rule]:
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """``(section, source, target)`` of a TOML file; an unreadable file has no rows."""
     try:
-        data = tomllib.loads(Path(path).read_text(encoding="utf-8"))
-    except (OSError, tomllib.TOMLDecodeError):
+        return glossary_rows(spark, Path(path).read_text(encoding="utf-8"))
+    except OSError:
+        return glossary_rows(spark, "")
+
+
+def glossary_rows(spark: SparkSession, content: str) -> DataFrame:
+    """``(section, source, target)`` of a TOML text; a malformed one has no rows."""
+    try:
+        data = tomllib.loads(content)
+    except tomllib.TOMLDecodeError:
         data = {}
     rows = [(s, k, str(v)) for s, entries in data.items() if isinstance(entries, dict) for k, v in entries.items()]
     return spark.createDataFrame(rows, "section string, source string, target string")
