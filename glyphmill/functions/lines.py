@@ -220,16 +220,21 @@ def fitted_box(text: Column, box: Column, width: int, height: int, short_name: C
 def words_in_range(text: Column, x1: Column, x2: Column, left: Column, right: Column) -> Column:
     """The words of a line whose middles, by their shares of its width, lie from ``left`` up to ``right``."""
     words = F.filter(F.split(F.trim(text_or_empty(text)), r"\s+"), lambda w: w != "")
-    total = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
-    room = lambda w: F.greatest(F.lit(1), F.bround(F.length(w) * (x2 - x1) / F.greatest(total, F.lit(1))).cast("int"))
-    start = F.struct(x1.cast("int").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(s: Column, w: Column) -> Column:
-        middle = s["at"] + F.floor(room(w) / 2)
-        inside = (middle >= left) & (middle < right)
-        return F.struct((s["at"] + room(w)).alias("at"), F.when(inside, F.concat(s["out"], F.array(w))).otherwise(s["out"]).alias("out"))
+    def pick(bound: Column) -> Column:
+        room = lambda w: F.greatest(F.lit(1), F.bround(F.length(w) * (x2 - x1) / F.greatest(bound["total"], F.lit(1))).cast("int"))
+        start = F.struct(x1.cast("int").alias("at"), F.lit(0).alias("before"), F.lit(0).alias("inside"))
 
-    return F.when((right > left) & (x2 > x1), F.array_join(F.aggregate(words, start, step)["out"], " ")).otherwise("")
+        def step(s: Column, w: Column) -> Column:
+            # middles never go back, so the words inside follow each other
+            middle = s["at"] + F.floor(room(w) / 2)
+            return F.struct((s["at"] + room(w)).alias("at"), (s["before"] + F.when(middle < left, 1).otherwise(0)).alias("before"), (s["inside"] + F.when((middle >= left) & (middle < right), 1).otherwise(0)).alias("inside"))
+
+        return F.transform(F.array(F.aggregate(bound["words"], start, step)), lambda ends: F.array_join(F.slice(bound["words"], ends["before"] + 1, ends["inside"]), " "))[0]
+
+    # lambdas bind the words, their length and the ends, so that none is made anew for every word
+    bound = F.struct(words.alias("words"), F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)).alias("total"))
+    return F.when((right > left) & (x2 > x1), F.transform(F.array(bound), pick)[0]).otherwise("")
 
 
 def inside_paragraph(line_key: Column, y1: Column, paragraph: Column) -> Column:

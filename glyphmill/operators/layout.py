@@ -1,18 +1,20 @@
 """Lines with boxes to reading order, rows, paragraphs and plain text, one frame at a time.
 
 A frame holds one screen of lines, so the running geometry of the sequential
-merges is a small Python loop inside ``applyInPandas``; frames spread over the
-cluster by their key, and no frame is gathered anywhere else. Where the rule
-needs no running state, the built-in window functions do it (see the catalogue).
+merges is a small Python loop. Frames spread over the cluster by their key; each
+partition is sorted by frame and walked in Arrow batches, so that a frame costs
+no call of its own. Where the rule needs no running state, the built-in window
+functions do it (see the catalogue).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,16 @@ WRAP_GAP, WRAP_LINES, LEAST_HEIGHT = 0.55, 5, 8.0
 COLUMN_STEP, COLUMN_DRIFT, VERTICAL_AT = 24, 0.3, 0.55
 PARAGRAPH_GAP, TAB_PIXELS = 1.8, 32
 SAME_BOX, GUTTER_SHARE, GUTTER_LEAST, MARGIN_SHARE, MARGIN_LEAST = 0.55, 0.028, 36, 0.04, 24
+FLOW_OVERLAP, FLOW_DROP, TAIL_WORDS, TAIL_GAP, TAIL_OVERLAP = 0.6, 0.35, 3, 0.6, 0.55
+AID_SHARE, AID_LEAST, AID_OVERLAP, AID_LINES = 0.45, 12, 0.4, 4
 _CONTINUES = (",", "—", "-", "/", "…")
+_ENDS = ".!?。！？…:;»"
+_AID = re.compile(r"[ぁ-ヿ]*([ぁ-ヿ]{3,10})\1+[ぁ-ヿ]*")
 
 
 @dataclass(frozen=True)
 class Line:
-    """A line of text with its box; ``ids`` names the rows it was made of."""
+    """A line of text with its box; ``ids`` names the rows it was made of, ``parts`` are the lines of a paragraph."""
 
     text: str
     x1: int
@@ -35,6 +41,7 @@ class Line:
     y2: int
     conf: float = 0.0
     ids: tuple[int, ...] = ()
+    parts: tuple[Line, ...] = ()
 
     @property
     def height(self) -> float:
@@ -46,7 +53,7 @@ class Line:
 
     def join(self, other: Line, sep: str = " ") -> Line:
         k, m = len(self.ids) or 1, len(other.ids) or 1
-        return Line(f"{self.text.rstrip()}{sep}{other.text.lstrip()}", min(self.x1, other.x1), min(self.y1, other.y1), max(self.x2, other.x2), max(self.y2, other.y2), (self.conf * k + other.conf * m) / (k + m), self.ids + other.ids)
+        return Line(f"{self.text.rstrip()}{sep}{other.text.lstrip()}", min(self.x1, other.x1), min(self.y1, other.y1), max(self.x2, other.x2), max(self.y2, other.y2), (self.conf * k + other.conf * m) / (k + m), self.ids + other.ids, (self.parts or (self,)) + (other.parts or (other,)))
 
 
 def cjk_share(text: str) -> float:
@@ -174,6 +181,93 @@ def column_gutters(lines: list[Line], page_width: int) -> list[tuple[int, int]]:
     return out[:4]
 
 
+def continues_flow(b: Line, above: Line) -> bool:
+    """Whether a line is the next one of a paragraph: shared width, less than a line lower, and no sentence ends above it."""
+    overlap, narrow = min(b.x2, above.x2) - max(b.x1, above.x1), min(b.x2 - b.x1, above.x2 - above.x1)
+    height = max(LEAST_HEIGHT, float(min(b.y2 - b.y1, above.y2 - above.y1)))
+    drop = abs((b.y1 + b.y2) - (above.y1 + above.y2)) / 2
+    gap = max(0, b.y1 - above.y2 if b.y1 >= above.y2 else above.y1 - b.y2)
+    return overlap > 0 and narrow > 0 and overlap >= FLOW_OVERLAP * narrow and FLOW_DROP * height <= drop < height and gap < height and above.text.rstrip()[-1:] not in tuple(_ENDS)
+
+
+def flow_paragraphs(lines: list[Line]) -> list[Line]:
+    """Joins what flows on from any line of a group, from the topmost line on; a group reads from top to bottom."""
+    left = sorted(lines, key=lambda b: (b.y1, b.ids))
+    out: list[Line] = []
+    while left:
+        group, edge = [], [left.pop(0)]
+        while edge:
+            at = edge.pop()
+            group.append(at)
+            more = [b for b in left if continues_flow(b, at)]
+            edge += more
+            left = [b for b in left if b not in more]
+        first, *rest = sorted(group, key=lambda b: (b.y1, b.x1, b.ids))
+        for b in rest:
+            first = first.join(b)
+        out.append(first)
+    return sorted(out, key=lambda b: (b.y1, b.x1, b.ids))
+
+
+def merge_tails(lines: list[Line]) -> list[Line]:
+    """Puts lines of at most three words that touch a paragraph's last line back into it."""
+    left = sorted(lines, key=lambda b: (b.y1, b.x1, b.ids))
+    out: list[Line] = []
+    while left:
+        cur = left.pop(0)
+        while len(cur.parts) > 1:
+            last = cur.parts[-1]
+            fits = lambda b: b.y1 - last.y2 <= TAIL_GAP * max(12, last.y2 - last.y1) and min(b.x2, last.x2) - max(b.x1, last.x1) > TAIL_OVERLAP * min(b.x2 - b.x1, last.x2 - last.x1)  # noqa: B023, E731
+            tail = next((b for b in left if 0 < len(b.text.split()) <= TAIL_WORDS and fits(b)), None)
+            if tail is None:
+                break
+            left.remove(tail)
+            cur = cur.join(tail)
+        out.append(cur)
+    return sorted(out, key=lambda b: (b.y1, b.x1, b.ids))
+
+
+def column_bounds(lines: list[Line], width: int) -> list[tuple[int, int]]:
+    """Columns between at most three of the widest steps of the centres of narrow boxes; none for fewer than two columns."""
+    xs = sorted(b.center for b in lines if 24 <= b.x2 - b.x1 <= max(280, int(width * 0.36)) and len(b.text.strip()) >= 5)
+    steps = sorted(((b - a, (a + b) / 2) for a, b in zip(xs, xs[1:]) if b - a >= max(70.0, width * 0.07)), reverse=True)
+    if len(xs) < 5 or not steps:
+        return []
+    edges = [0]
+    for cut in sorted(int(mid) for _, mid in steps[:3]):
+        if len(edges) == 1 or cut - edges[-1] >= max(100, int(width * 0.12)):
+            edges.append(cut)
+    bounds = [(a, b) for a, b in zip(edges, [*edges[1:], width]) if b - a >= max(120, int(width * 0.12))]
+    return bounds if len(bounds) > 1 else []
+
+
+def column_paragraphs(lines: list[Line], merge: Callable[[list[Line]], list[Line]] = soft_wraps) -> list[Line]:
+    """Paragraphs that don't cross columns: each line belongs to the column whose middle is nearest, and each column merges on its own."""
+    ordered = reading_order(lines)
+    bounds = column_bounds(ordered, max((b.x2 for b in ordered), default=0))
+    if not bounds:
+        return merge(ordered)
+    columns: list[list[Line]] = [[] for _ in bounds]
+    for b in ordered:
+        columns[min(range(len(bounds)), key=lambda k: abs(b.center - sum(bounds[k]) / 2))].append(b)
+    return [p for col in columns for p in merge(col)]
+
+
+def without_aids(lines: list[Line], names: frozenset[str] = frozenset()) -> list[Line]:
+    """Lines without small reading aids over or under Chinese characters; names stay, and so does a frame of aids only."""
+    heights = sorted(max(1, b.y2 - b.y1) for b in lines)
+    if len(heights) < AID_LINES:
+        return lines
+    body = heights[int(len(heights) * 0.55) :]
+    limit = max(AID_LEAST, int(min(body[len(body) // 2], heights[-1]) * AID_SHARE))
+
+    def beside(a: Line) -> bool:
+        return any(b is not a and re.search("[一-鿿]", b.text) and (b.y2 - 4 <= a.y1 or b.y1 >= a.y2 + 4) and min(a.x2, b.x2) - max(a.x1, b.x1) > AID_OVERLAP * max(1, a.x2 - a.x1) for b in lines)
+
+    kept = [b for b in lines if b.text.strip() in names or not (_AID.fullmatch("".join(b.text.split())) and b.y2 - b.y1 <= limit and beside(b))]
+    return kept or lines
+
+
 def plain_text(paragraphs: list[Line]) -> str:
     """Paragraphs as text: a blank line for a wide gap, tabs for a clear step to the right."""
     shown = [p for p in paragraphs if p.text.strip()]
@@ -231,13 +325,12 @@ def tiles_box(tiles: list[tuple[int, int]], size: int, width: int, height: int)
 
 # On DataFrames --------------------------------------------------------------------------------
 
-PASSES: dict[str, Callable[[list[Line]], list[Line]]] = {"order": reading_order, "wraps": lambda ls: soft_wraps(reading_order(ls)), "rows": stitch_rows, "single": drop_double_reads, "paragraphs": lambda ls: soft_wraps(reading_order(stitch_rows(drop_double_reads(ls))))}
+PASSES: dict[str, Callable[[list[Line]], list[Line]]] = {"order": reading_order, "wraps": lambda ls: soft_wraps(reading_order(ls)), "rows": stitch_rows, "single": drop_double_reads, "paragraphs": lambda ls: soft_wraps(reading_order(stitch_rows(drop_double_reads(ls)))), "flow": lambda ls: merge_tails(flow_paragraphs(drop_double_reads(ls))), "columns": column_paragraphs, "unaided": without_aids}
 OUT = "place int, text string, x1 int, y1 int, x2 int, y2 int, conf double, n_rows int, first_id long"
 
 
-def _lines(part: pd.DataFrame) -> list[Line]:
-    cols = zip(part["id"], part["text"], part["x1"], part["y1"], part["x2"], part["y2"], part["conf"])
-    return [Line(t or "", int(a), int(b), int(c), int(d), 0.0 if pd.isna(k) else float(k), (int(i),)) for i, t, a, b, c, d, k in cols]
+def _lines(part: list[dict]) -> list[Line]:
+    return [Line(r["text"] or "", r["x1"], r["y1"], r["x2"], r["y2"], r["conf"] or 0.0, (r["id"],)) for r in sorted(part, key=lambda r: r["id"])]
 
 
 def flat(lines: DataFrame, frame: list[str], id_col: str) -> DataFrame:
@@ -245,40 +338,71 @@ def flat(lines: DataFrame, frame: list[str], id_col: str) -> DataFrame:
     return lines.where("box IS NOT NULL").select(*frame, F.col(id_col).cast("long").alias("id"), "text", *(F.coalesce(F.col(f"box.{c}"), F.lit(0)).alias(c) for c in ("x1", "y1", "x2", "y2")), "conf")
 
 
+def _over_frames(rows: DataFrame, frame: list[str], work: Callable[[list[dict]], list[tuple]], out: str) -> DataFrame:
+    """``work`` over the rows of every frame: partitions sorted by frame are walked, a frame that goes on in the next batch included."""
+    fields = ", ".join(f"{c} {t}" for c, t in rows.select(*frame).dtypes)
+    names = [*frame, *(x.split()[0] for x in out.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        done: list[tuple] = []
+
+        def close() -> None:
+            if held:
+                key = tuple(held[0][c] for c in frame)
+                done.extend((*key, *r) for r in work(held))
+                held.clear()
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], names=names)
+            done.clear()
+            return made
+
+        types = _arrow_types(f"{fields}, {out}")
+        for b in batches:
+            for row in b.to_pylist():
+                if held and any(row[c] != held[0][c] for c in frame):
+                    close()
+                held.append(row)
+            if done:
+                yield flush()
+        close()
+        if done:
+            yield flush()
+
+    return rows.repartition(*frame).sortWithinPartitions(*frame).mapInArrow(run, f"{fields}, {out}")
+
+
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+
+def _arrow_types(fields: str) -> list[pa.DataType]:
+    return [_ARROW[x.split()[1]] for x in fields.split(", ")]
+
+
 def run_pass(lines: DataFrame, frame: list[str], name: str, id_col: str = "row_id") -> DataFrame:
     """One of PASSES over every frame: frame columns, then OUT."""
-    keys = flat(lines, frame, id_col)
-    fields = ", ".join(f"{c} {t}" for c, t in keys.select(*frame).dtypes)
     work = PASSES[name]
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key, k, b.text, b.x1, b.y1, b.x2, b.y2, b.conf, max(1, len(b.ids)), b.ids[0]) for k, b in enumerate(work(_lines(part)))]
-        return pd.DataFrame(rows, columns=[*frame, "place", "text", "x1", "y1", "x2", "y2", "conf", "n_rows", "first_id"])
+    def one(part: list[dict]) -> list[tuple]:
+        return [(k, b.text, b.x1, b.y1, b.x2, b.y2, b.conf, max(1, len(b.ids)), b.ids[0]) for k, b in enumerate(work(_lines(part)))]
 
-    return keys.groupBy(*frame).applyInPandas(one, f"{fields}, {OUT}")
+    return _over_frames(flat(lines, frame, id_col), frame, one, OUT)
 
 
 def frame_text(lines: DataFrame, frame: list[str], id_col: str = "row_id") -> DataFrame:
     """``(frame, text)``: the paragraphs of every frame as plain text."""
-    keys = flat(lines, frame, id_col)
-    fields = ", ".join(f"{c} {t}" for c, t in keys.select(*frame).dtypes)
-
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, plain_text(PASSES["paragraphs"](_lines(part))))], columns=[*frame, "text"])
-
-    return keys.groupBy(*frame).applyInPandas(one, f"{fields}, text string")
+    return _over_frames(flat(lines, frame, id_col), frame, lambda part: [(plain_text(PASSES["paragraphs"](_lines(part))),)], "text string")
 
 
 def tile_regions(tiles: DataFrame, frame: list[str], size: int, width: int, height: int, gap: int) -> DataFrame:
     """``(frame, x1, y1, x2, y2)``: changed tiles (tile_x, tile_y) grouped, boxed and united."""
-    fields = ", ".join(f"{c} {t}" for c, t in tiles.select(*frame).dtypes)
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        groups = components({(int(x), int(y)) for x, y in zip(part["tile_x"], part["tile_y"])})
-        rows = [(*key, *r) for r in merge_near([tiles_box(g, size, width, height) for g in groups], gap)]
-        return pd.DataFrame(rows, columns=[*frame, "x1", "y1", "x2", "y2"])
+    def one(part: list[dict]) -> list[tuple]:
+        groups = components({(r["tile_x"], r["tile_y"]) for r in part})
+        return merge_near([tiles_box(g, size, width, height) for g in groups], gap)
 
-    return tiles.select(*frame, "tile_x", "tile_y").groupBy(*frame).applyInPandas(one, f"{fields}, x1 int, y1 int, x2 int, y2 int")
+    return _over_frames(tiles.select(*frame, "tile_x", "tile_y"), frame, one, "x1 int, y1 int, x2 int, y2 int")
 
 
 def moved(line: Line, dx: int = 0, dy: int = 0, scale: int = 1) -> Line:

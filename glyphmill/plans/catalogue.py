@@ -357,14 +357,14 @@ def line_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT entry_id, CASE WHEN regexp_matches(t, '^\d+\s*/\s*\d+$') THEN regexp_replace(t, '\s+', '', 'g') WHEN regexp_matches(t, '^\d+([.,]\d+)?\s*%$') THEN regexp_replace(t, '\s+', '', 'g')
+    r"""SELECT entry_id, pos, CASE WHEN regexp_matches(t, '^\d+\s*/\s*\d+$') THEN regexp_replace(t, '\s+', '', 'g') WHEN regexp_matches(t, '^\d+([.,]\d+)?\s*%$') THEN regexp_replace(t, '\s+', '', 'g')
       WHEN regexp_matches(t, '(?i)^lv\.?\s*(\d+)$') THEN 'Level ' || regexp_extract(t, '(?i)^lv\.?\s*(\d+)$', 1) END AS guarded
-      FROM (SELECT entry_id, trim(string_split(coalesce(source_text, ''), chr(10))[1]) AS t FROM translations)"""
+      FROM (SELECT entry_id, unnest(string_split(coalesce(source_text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(source_text, ''), chr(10)), 1) - 1 AS pos, trim(x) AS t FROM translations)"""
 )
 def number_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """JN4: number shapes in the first line of each source."""
-    first = F.get(F.split(F.coalesce("source_text", F.lit("")), "\n"), F.lit(0))
-    return load(spark, d, "translations").select("entry_id", gates.numeric_guard(first, F.lit("Level")).alias("guarded"))
+    """JN4: number shapes in every line of each source."""
+    lines = load(spark, d, "translations").select("entry_id", F.posexplode(F.split(F.coalesce("source_text", F.lit("")), "\n")).alias("pos", "line"))
+    return lines.select("entry_id", "pos", gates.numeric_guard(F.col("line"), F.lit("Level")).alias("guarded"))
 
 
 # Dictionaries --------------------------------------------------------------------------------
@@ -749,6 +749,33 @@ def frame_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return layout.run_pass(_frames(spark, d), _FRAME, "paragraphs")
 
 
+@query()
+def flow_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """WIN10, WIN16: lines that flow on joined, with the tails that touch them."""
+    return layout.run_pass(_frames(spark, d), _FRAME, "flow")
+
+
+@query()
+def column_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """WIN6: paragraphs of each frame that don't cross its columns."""
+    return layout.run_pass(_frames(spark, d), _FRAME, "columns")
+
+
+_aid = "list_filter(range(1, length(k)), lambda i: len(list_filter(range(3, 11), lambda l: i + 2 * l - 1 <= length(k) AND substring(k, i::INT, l::INT) = substring(k, (i + l)::INT, l::INT))) > 0)"
+
+
+@query(
+    rf"""WITH b AS (SELECT row_id, session_id, id // 12 AS frame, box, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0b]+', '', 'g') AS k FROM tracked_block WHERE box IS NOT NULL AND id IS NOT NULL),
+      h AS (SELECT session_id, frame, list_sort(list(greatest(1, box.y2 - box.y1))) AS hs FROM b GROUP BY 1, 2), l AS (SELECT session_id, frame, len(hs) AS n, hs[floor(len(hs) * 0.55::DOUBLE)::INT + 1:] AS body, hs[-1] AS top FROM h),
+      m AS (SELECT session_id, frame, n, greatest(12, floor(least(body[len(body) // 2 + 1], top) * 0.45::DOUBLE)) AS lim FROM l),
+      a AS (SELECT b.*, n >= 4 AND regexp_matches(k, '^[ぁ-ヿ]+$') AND len({_aid}) > 0 AND box.y2 - box.y1 <= lim AND EXISTS (SELECT 1 FROM b o WHERE o.session_id = b.session_id AND o.frame = b.frame AND o.row_id <> b.row_id AND regexp_matches(o.text, '[一-鿿]') AND (o.box.y2 - 4 <= b.box.y1 OR o.box.y1 >= b.box.y2 + 4) AND least(o.box.x2, b.box.x2) - greatest(o.box.x1, b.box.x1) > 0.4 * greatest(1, b.box.x2 - b.box.x1)) AS aid FROM b JOIN m USING (session_id, frame))
+    SELECT row_id FROM (SELECT row_id, aid, bool_and(aid) OVER (PARTITION BY session_id, frame) AS every FROM a) WHERE NOT aid OR every"""
+)
+def unaided_lines(spark: SparkSession, d: str) -> DataFrame:
+    """WIN25: lines without small reading aids beside Chinese characters."""
+    return layout.run_pass(_frames(spark, d), _FRAME, "unaided").select(F.col("first_id").alias("row_id"))
+
+
 @query()
 def frame_texts(spark: SparkSession, d: str) -> DataFrame:
     """SNK6, STR43: each frame as plain text."""
@@ -858,13 +885,13 @@ def own_text_dropped(spark: SparkSession, d: str) -> DataFrame:
     return labels.without_own_text(b.select("row_id", "session_id", "text"), "text", b, "translation", ["session_id"]).select("row_id")
 
 
-@query("SELECT entry_id, trim(regexp_replace(coalesce(translated_text, ''), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS joined, true AS every_row FROM translations WHERE NOT regexp_matches(coalesce(translated_text, ''), '[^\\x00-\\x7f]')".replace("\\\\", "\\"))
+@query(f"SELECT entry_id, trim(regexp_replace(coalesce(translated_text, ''), '{_SPACE}', ' ', 'g')) AS joined, true AS every_row, len(list_filter(string_split(coalesce(source_text, ''), chr(10)), lambda x: true))::INT AS n FROM translations")
 def words_over_rows(spark: SparkSession, d: str) -> DataFrame:
     """STR39, STR40, STR42, STR44: translations spread over the lines of their sources by length; joined again they are whole."""
-    rows = load(spark, d, "translations").where(~F.coalesce("translated_text", F.lit("")).rlike(r"[^\x00-\x7f]"))
+    rows = load(spark, d, "translations")
     weights = F.transform(F.split(F.coalesce("source_text", F.lit("")), "\n"), lambda x: F.length(F.regexp_replace(x, r"\s+", "")))
     parts = rows.select("entry_id", labels.spread("translated_text", weights).alias("p"), F.size(weights).alias("n"))
-    return parts.select("entry_id", F.array_join(F.filter("p", lambda x: x != ""), " ").alias("joined"), (F.size("p") == F.col("n")).alias("every_row"))
+    return parts.select("entry_id", F.array_join(F.filter("p", lambda x: x != ""), " ").alias("joined"), (F.size("p") == F.col("n")).alias("every_row"), "n")
 
 
 # Noise ---------------------------------------------------------------------------------------

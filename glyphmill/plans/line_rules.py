@@ -12,9 +12,9 @@ from glyphmill.plans.catalogue import query, when
 from glyphmill.session import load
 
 WIDTH, HEIGHT = 1920, 1080
-MARK, OPENINGS, SHAPES, WHOLE = "shared page|copied from", ("Obtained", "Quest", "Map", "Guard"), (r"\b\d+\s*x\s*col\.?\b",), ("guard", "map", "settings")
-NEEDLES, TITLES, LEGEND = ("just now", "walkthrough"), ("online", "episode"), ("waypoint", "checkpoint", "harbour", "map")
-NAMES, KNOWN = ("ミラ", "王"), ("設定", "購入")
+MARK, OPENINGS, SHAPES, WHOLE = "shared page|copied from", ("Obtained", "Quest", "Your"), (r"\b\d+\s*x\s*col\.?\b",), ("guard", "map", "settings")
+NEEDLES, TITLES, LEGEND = ("just now", "wounded"), ("online", "episode"), ("waypoint", "checkpoint", "harbour", "map")
+NAMES, KNOWN = ("ミラ", "スモ"), ("設定", "購入")
 
 _cnt = lambda t, p: f"len(regexp_extract_all({t}, '{p}'))"
 _any = lambda t, ws: "(" + " OR ".join(f"contains({t}, '{w}')" for w in ws) + ")"

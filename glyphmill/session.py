@@ -53,8 +53,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made
-    and set, once per session.
+    Only where that is unset on a single machine, as in tests, a temporary folder
+    is made and set, once per session. A cluster must name a folder.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
@@ -62,6 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
     spark.sparkContext.setCheckpointDir(made)
     return made

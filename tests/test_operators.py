@@ -195,3 +195,65 @@ def test_upsert_stream(spark, tmp_path):
     merge(b, 1)
     merge(b, 1)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "v1")).select("k", "v").collect()) == [("x", "2"), ("y", "1")]
+
+
+def line(text, x1, y1, x2, y2, k):
+    from glyphmill.operators.layout import Line
+
+    return Line(text, x1, y1, x2, y2, 0.9, (k,))
+
+
+def test_flow_and_tails():
+    from glyphmill.operators import layout
+
+    rows = [line("A river runs past the", 10, 0, 200, 20, 1), line("old mill and the", 10, 18, 190, 38, 2), line("bridge.", 10, 36, 90, 56, 3), line("Start", 10, 120, 60, 140, 4)]
+    assert [p.text for p in layout.flow_paragraphs(rows)] == ["A river runs past the old mill and the bridge.", "Start"]
+    short = layout.flow_paragraphs(rows[:2]) + [line("bridge first.", 12, 46, 90, 62, 3), line("a new line of four", 12, 64, 90, 80, 4)]
+    assert [p.text for p in layout.merge_tails(short)] == ["A river runs past the old mill and the bridge first.", "a new line of four"]
+    assert layout.flow_paragraphs([]) == [] and layout.merge_tails([]) == []
+
+
+def test_columns_keep_apart():
+    from glyphmill.operators import layout
+
+    rows = [line(f"left {k},", 10, 20 * k, 190, 20 * k + 18, k) for k in range(3)] + [line(f"right {k}", 700, 20 * k, 900, 20 * k + 18, 10 + k) for k in range(3)]
+    assert layout.column_bounds(rows, 1000) == [(0, 450), (450, 1000)]
+    assert all(not ("left" in p.text and "right" in p.text) for p in layout.column_paragraphs(rows))
+    assert layout.column_paragraphs([]) == []
+
+
+def test_reading_aids_are_dropped():
+    from glyphmill.operators import layout
+
+    rows = [line("利用方法", 10, 20, 200, 60, 1), line("りようりようりよう", 10, 4, 150, 16, 2), line("設定", 300, 20, 400, 60, 3), line("ストーリー", 300, 80, 400, 120, 4)]
+    assert [b.ids[0] for b in layout.without_aids(rows)] == [1, 3, 4]
+    assert [b.ids[0] for b in layout.without_aids(rows[:3])] == [1, 2, 3]
+
+
+def test_speaker_scores(spark):
+    from glyphmill.operators import speakers
+
+    rows = [(1, "f", "Mira", (100, 100, 180, 124), "name", 4), (2, "f", "Mira: we have to leave before the storm comes", (100, 130, 700, 160), "dialogue", 4), (3, "f", "Settings", (900, 10, 1000, 40), None, None), (4, "g", None, (0, 0, 10, 10), None, 0)]
+    df = spark.createDataFrame(rows, "id long, frame string, text string, box struct<x1:int,y1:int,x2:int,y2:int>, kind string, stable_passes int")
+    scored = speakers.score(df, ["frame"], "id")
+    got = {r["id"]: r["score"] for r in scored.collect()}
+    assert got[2] == 0.0 and got[1] > 2.2 > got[3]
+    assert [r["id"] for r in speakers.detect(scored, ["frame"], "id").collect()] == [1]
+    assert speakers.score(df.where("false"), ["frame"], "id").count() == 0
+
+
+def test_line_rules_on_odd_texts(spark):
+    from pyspark.sql import functions as F
+
+    from glyphmill.functions import lines
+
+    df = spark.createDataFrame([(None,), ("",), ("  ",), ("word " * 20_000,), ("Obtained 350 x Col",), ("Confirm",), ("日本語のテキストです。",)], "t string")
+    t, no = F.col("t"), F.lit(False)
+    box = F.struct(*(F.lit(v).alias(k) for k, v in (("x1", 0), ("y1", 0), ("x2", 1900), ("y2", 20))))
+    got = df.select(
+        lines.is_junk_line(t).alias("junk"), lines.is_choice(t, no, no).alias("choice"), lines.is_screen_line(t, no, no, no).alias("screen"), lines.is_japanese_noise(t).alias("scrap"), lines.stays_as_is(t, F.lit("ru")).alias("as_is"),
+        lines.is_known_phrase(t, ("Obtained",), (r"\b\d+\s*x\s*col\b",)).alias("known"), lines.fitted_box(t, box, 1920, 1080).alias("box"), lines.words_in_range(t, F.lit(0), F.lit(100), F.lit(0), F.lit(50)).alias("half"), lines.strip_tail(t, "col").alias("tail"),
+    ).collect()
+    assert [r["junk"] for r in got[:3]] == [True] * 3 and [r["choice"] for r in got] == [False, False, False, False, True, True, False]
+    assert got[4]["known"] and got[4]["tail"] == "Obtained 350 x" and got[4]["half"] == "Obtained" and all(r["box"] is None for r in got[:3])
+    assert not any(r["scrap"] for r in got[4:]) and not got[6]["as_is"] and got[0]["as_is"]
