@@ -310,9 +310,10 @@ def _banded_pairs(signed: DataFrame, threshold: float, block: int, slot_bits: in
         left, right = (cells.select("key", "i", "j", *(F.col(c).alias(c + side) for c in ("low", "high", "own"))) for side in "lr")
         met = left.join(right, ["key", "i", "j"]).where(_may_be_alike(threshold) & ((F.col("i") == F.col("j")) | (F.col("ownl") != F.col("ownr"))))
         parts.append(met.select(*ends))
-    # one exchange serves both sides of the join; a sketch that several tasks signed meets its copies and they vanish here
-    flat = flat.repartition("key").dropDuplicates()
-    left, right = (flat.select("key", *(F.col(c).alias(c + side) for c in ("low", "high"))) for side in "lr")
+    # one exchange serves both sides of the join. A sketch that several tasks signed stands once on the left; on the right its
+    # copies only repeat a pair, at most once for each task, until the caller's distinct
+    flat = flat.repartition("key")
+    left, right = (side.select("key", *(F.col(c).alias(c + end) for c in ("low", "high"))) for side, end in ((flat.dropDuplicates(), "l"), (flat, "r")))
     parts.append(left.join(right, "key").where(_may_be_alike(threshold)).select(*ends))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
