@@ -271,6 +271,33 @@ def test_refusals_are_learnt_from_the_corpus(spark):
     assert responses.repeated_responses(df.where("false")) == []
 
 
+def test_rare_refusals_among_many_repeats(spark):
+    """A refusal on three rows, beside more than 5,000 responses that repeat more often."""
+    usual = spark.range(4 * 5_200).selectExpr("concat('The old bridge number ', id div 4, ' carries travellers over river ', id % 4) AS source_text", "concat('Die alte Brücke ', id div 4, ' trägt Reisende') AS translated_text")
+    prompts = ["A river runs past the old mill.", "Bring ten ropes to the harbour guard!", "Snow fell on the market all night."]
+    rare = spark.createDataFrame([(p, "Nope, the oracle stays silent today") for p in prompts], "source_text string, translated_text string")
+    assert responses.repeated_responses(usual.unionByName(rare)) == ["nope, the oracle stays silent today"]
+
+
+def test_all_prompts_of_a_response_are_compared(spark):
+    """One unlike prompt among forty, at every place of the hashes by which a few are picked first."""
+    alike = [f"A river runs past the old mill and the quiet village number {k}." for k in range(40)]
+    said = [(p, f"Nope, oracle {j} stays silent") for j in "abcdefgh" for p in [*alike, f"Bring ten ropes to harbour guard {j}!"]] + [(p, "Der Fluss an der Mühle") for p in alike]
+    df = spark.createDataFrame(said, "source_text string, translated_text string")
+    assert responses.repeated_responses(df) == [f"nope, oracle {j} stays silent" for j in "abcdefgh"]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_unlike_prompts_by_brute_force(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        pool = rng.sample("abcdefghijklmnop", rng.randrange(4, 17))
+        prompts = [" ".join(rng.sample(pool, rng.randrange(1, min(len(pool), 9)))) for _ in range(rng.randrange(2, 9))]
+        sets = [set(p.split()) for p in prompts]
+        want = any(min(len(a), len(b)) >= 3 and len(a & b) < responses.UNLIKE * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+        assert responses.unlike(prompts) is want
+
+
 def test_residue_is_learnt_from_the_corpus(spark):
     notice = "Oops, the gremlins chewed this parchment"
     rng = random.Random(4)
