@@ -4,7 +4,8 @@ Three character n-gram models tell filler, notices and natural prose apart. What
 filler and notices look like is learnt from the corpus: windows (lines and
 sentences) that make up much of several documents, counted over all of them. A
 small grammar of filler and notices in eight languages starts the models where
-the corpus has none; a bounded sample of the documents gives the prose.
+the corpus has none; all other documents give the prose. Every count is over all
+documents and their whole texts, added up by the tasks in tables of fixed size.
 
 A document goes out by either of two rules: residue, in windows with a positive
 likelihood ratio against prose, covers half of its letters or more; or its
@@ -14,9 +15,10 @@ by form, since a placeholder amid ten thousand letters of prose covers nothing.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from http import HTTPStatus
 
 import numpy as np
@@ -26,16 +28,14 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm import ngrams
 
-#: Documents the models are fitted on, and characters read of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 3000
 #: Share of a document's letters that residue must cover.
 COVERAGE = 0.5
-#: Share of a document's letters from which a window dominates it, documents it must dominate to be learnt, and most windows that are learnt.
-DOMINANT, LEAST_DOCS, MOST_LEARNT = 0.2, 3, 5_000
-#: Of the sampled documents with a learnt window, the share that it must dominate.
+#: Share of a document's letters from which a window dominates it, and documents it must dominate to be learnt.
+DOMINANT, LEAST_DOCS = 0.2, 3
+#: Of the documents with a learnt window, the share that it must dominate.
 MOSTLY = 0.5
 #: Share of a learnt window's long n-grams from which it is prose with another name in it, and the n-grams.
-SEEN, LONG_GRAM, LONG_BITS = 0.9, 8, 24
+SEEN, LONG_GRAM = 0.9, 8
 GRAM, BITS = 4, 18
 
 # Filler, and parts of notices that are combined with each other in each language.
@@ -74,8 +74,9 @@ _MARK = re.compile(r"[{}$<%\[@]|__|\((?:your|insert)", re.I)
 _BOUNDS = np.zeros(0x10000, dtype=bool)
 _BOUNDS[[ord(c) for c in "\n.!?。！？"]] = True
 _CUT = re.compile(r"[\n.!?。！？]+")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+_VARIES = re.compile(r"[\d/]")
 _VARIABLE = re.compile(r"\b[0-9a-f]*\d[0-9a-f]*\b|/\S*")
-_DIGITS = str.maketrans({d: "0" for d in "123456789"})
 
 
 def has_placeholder(text: str) -> bool:
@@ -83,28 +84,47 @@ def has_placeholder(text: str) -> bool:
     return bool(_MARK.search(text) and PLACEHOLDERS.search(_QUOTED.sub(" ", text)))
 
 
-def _plain(text: str) -> str:
-    return text.lower().translate(_DIGITS)
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts in lower case, each with a line end and every digit as a nought, and the length of each."""
+    codes, sizes = ngrams.code_points([t.lower() + "\n" for t in texts])
+    return np.where((codes > 0x30) & (codes < 0x3A), np.uint32(0x30), codes), sizes
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """Counts of the hashed n-grams of some texts."""
+    codes, _ = _codes(texts)
+    return np.bincount(ngrams.hashed(codes, GRAM, BITS), minlength=1 << BITS)
 
 
 class ResidueModel:
     """Log-likelihood tables of filler, notices and prose over hashed character n-grams."""
 
-    def __init__(self, filler: list[str], notices: list[str], prose: list[str]):
-        table = lambda texts: ngrams.log_table([_plain(t) + "\n" for t in texts], GRAM, BITS)
-        base = table(prose)
-        self.ratio = np.stack([table(filler) - base, table(notices) - base])
+    def __init__(self, filler: np.ndarray, notices: np.ndarray, prose: np.ndarray):
+        base = ngrams.log_counts(prose)
+        self.ratio = np.stack([ngrams.log_counts(filler) - base, ngrams.log_counts(notices) - base])
 
     def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each window: the text it belongs to, letters, and the ratios of filler and of notices to prose."""
-        codes, sizes = ngrams.code_points([_plain(t) + "\n" for t in texts])
+        return self._windows(texts)[:4]
+
+    def _windows(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """The windows, the hash of the n-gram at each place, and the places of each text."""
+        codes, sizes = _codes(texts)
         h = ngrams.hashed(codes, GRAM, BITS)
         bound = _BOUNDS[np.minimum(codes, 0xFFFF)]
         end = np.flatnonzero(bound) + 1
         size = np.diff(np.concatenate(([0], end)))
         owner = np.searchsorted(np.cumsum(sizes), end, side="left")
         letter = (codes > 0x40) & (codes != 0x60) | (codes >= 0x30) & (codes < 0x3A)
-        return owner, ngrams.segment_sums(letter, size), ngrams.segment_sums(self.ratio[0][h], size), ngrams.segment_sums(self.ratio[1][h], size)
+        return owner, ngrams.segment_sums(letter, size), ngrams.segment_sums(self.ratio[0][h], size), ngrams.segment_sums(self.ratio[1][h], size), h, sizes
+
+    def classes(self, texts: list[str]) -> np.ndarray:
+        """Counts of the n-grams of the texts that are prose, filler and notices, one after the other."""
+        owner, letters, f, n, h, sizes = self._windows(texts)
+        total = np.maximum(np.bincount(owner, weights=letters, minlength=len(texts)), 1)
+        a, b = (np.bincount(owner, weights=letters * hit, minlength=len(texts)) / total for hit in ((f > 0) & (f >= n), (n > 0) & (n > f)))
+        kind = np.where(a + b < COVERAGE, 0, np.where(a >= b, 1, 2))
+        return np.bincount(np.repeat(kind << BITS, sizes) + h, minlength=3 << BITS)
 
     def coverage(self, texts: list[str]) -> np.ndarray:
         """Share of each text's letters in windows that are residue."""
@@ -114,90 +134,106 @@ class ResidueModel:
         return np.bincount(owner, weights=letters * bad, minlength=len(texts)) / np.maximum(total, 1)
 
 
+def _forms(text: str) -> list[str]:
+    return [" ".join((_VARIABLE.sub("0", w) if _VARIES.search(w) else w).split()) for w in _CUT.split(text.lower())]
+
+
 def _shares(text: str) -> dict[str, float]:
     """Share of a text's letters of each of its windows; numbers, codes and paths count as one sign."""
     out: Counter[str] = Counter()
-    for w in _CUT.split(text.lower()):
-        form = " ".join(_VARIABLE.sub("0", w).split())
-        n = sum(map(str.isalpha, form))
+    for form in _forms(text):
+        joined = _NO_LETTERS.sub("", form)
+        n = len(joined) if joined.isalpha() else sum(map(str.isalpha, joined))
         if n >= 3:
             out[form] += n
     total = sum(out.values())
     return {w: n / total for w, n in out.items()}
 
 
-def _dominant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash of each window, the window itself where it dominates a document, and the documents it stands in and dominates."""
     for b in batches:
-        seen: Counter[str] = Counter()
+        known: Counter[str] = Counter()
+        led: Counter[str] = Counter()
         for t in b.column(0).to_pylist():
-            seen.update(w for w, share in _shares(t).items() if share >= DOMINANT)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["window", "n"])
+            shares = _shares(t)
+            known.update(shares.keys())
+            led.update(w for w, share in shares.items() if share >= DOMINANT)
+        key = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in known), dtype=np.int64)
+        columns = [pa.array(key), pa.array([w if w in led else None for w in known], pa.string()), pa.array(list(known.values()), pa.int64()), pa.array([led.get(w, 0) for w in known], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "window", "known", "led"])
 
 
-def dominant_windows(df: DataFrame, text_col: str = "text", least: int = LEAST_DOCS, most: int = MOST_LEARNT) -> list[str]:
-    """The windows that dominate ``least`` documents or more, counted over all documents; the ``most`` frequent ones of them.
+def dominant_windows(df: DataFrame, text_col: str = "text", least: int = LEAST_DOCS) -> list[str]:
+    """The windows that dominate ``least`` documents or more, and ``MOSTLY`` of those they stand in, counted over all documents.
 
-    No document has more than ``1 / DOMINANT`` dominant windows, so little is shuffled.
+    A window that stands amid other text more often than as the better part of a document is no residue.
     """
-    counts = df.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(_dominant, "window string, n long").groupBy("window").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "window").limit(most).select("window").collect()]
+    counts = df.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(_window_counts, "key long, window string, known long, led long")
+    counts = counts.groupBy("key").agg(F.max("window").alias("window"), F.sum("known").alias("known"), F.sum("led").alias("led"))
+    return sorted(r[0] for r in counts.where((F.col("led") >= least) & (F.col("led") >= MOSTLY * F.col("known"))).select("window").collect())
 
 
-def fit(sample: list[str], learnt: list[str] = ()) -> ResidueModel:
-    """Models from the grammar, from what the corpus repeats, and from a sample of documents, in two rounds.
+def _learnt_model(summed: Callable[[Callable[[list[str]], np.ndarray], int], np.ndarray], learnt: list[str]) -> ResidueModel:
+    """Models from the grammar, from what the corpus repeats, and from all documents, in two rounds.
 
-    A learnt window that the sample holds amid other text more often than as
-    the better part of a document is no residue, and neither is one whose long
-    n-grams the rest of the sample has, which is prose with another name in it.
+    ``summed`` adds up the counts that a step makes of the texts. A learnt window
+    whose long n-grams other documents have is no residue but prose with another
+    name in it.
     """
-    texts = [t[:SAMPLE_CHARS] for t in sample if t and t.strip()]
-    known = dict.fromkeys(learnt, 0)
-    led = dict.fromkeys(learnt, 0)
-    for t in sample:
-        for w, share in _shares(t or "").items():
-            if w in known:
-                known[w] += 1
-                led[w] += share >= DOMINANT
-    learnt = [w for w in learnt if led[w] >= MOSTLY * known[w]]
-    seeds = [*FILLER], [*NOTICES]
-    model = ResidueModel(*seeds, texts)
-    if learnt:
-        leading = set(learnt)
-        seen = np.zeros(1 << LONG_BITS, dtype=bool)
-        codes, _ = ngrams.code_points([_plain(t) + "\n" for t in texts if not any(share >= DOMINANT and w in leading for w, share in _shares(t).items())])
-        seen[ngrams.hashed(codes, LONG_GRAM, LONG_BITS)] = True
-        grams = [ngrams.hashed(ngrams.code_points([w])[0], LONG_GRAM, LONG_BITS)[LONG_GRAM - 1 :] for w in learnt]
-        learnt = [w for w, h in zip(learnt, grams) if not len(h) or seen[h].mean() < SEEN]
-    windows = [f"{w}\n{w}." for w in learnt]
+    grams = [ngrams.long_hashes(ngrams.code_points([w])[0], LONG_GRAM) for w in learnt]
+    wanted = np.unique(np.concatenate([*grams, np.zeros(1, np.uint64)]))
+    hint = np.zeros(1 << 20, dtype=bool)
+    hint[wanted >> np.uint64(44)] = True
+    known = frozenset(learnt)
+
+    def first(texts: list[str]) -> np.ndarray:
+        """Counts of the n-grams of texts that learnt windows don't cover, and of the wanted long ones of texts that none dominates."""
+        texts = [t for t in texts if t.strip()]
+        shares = [{} if known.isdisjoint(_forms(t)) else {w: x for w, x in _shares(t).items() if w in known} for t in texts]
+        codes, sizes = _codes(texts)
+        bare = np.repeat(np.array([sum(own.values()) < COVERAGE for own in shares], dtype=bool), sizes)
+        free = np.repeat(np.array([max(own.values(), default=0) < DOMINANT for own in shares], dtype=bool), sizes)
+        h = ngrams.long_hashes(codes[free], LONG_GRAM)
+        h = h[hint[h >> np.uint64(44)]]
+        at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+        return np.concatenate((np.bincount(ngrams.hashed(codes, GRAM, BITS)[bare], minlength=1 << BITS), np.bincount(at[wanted[at] == h], minlength=len(wanted))))
+
+    told = summed(first, (1 << BITS) + len(wanted))
+    prose, seen = told[: 1 << BITS], told[1 << BITS :] > 0
+    if not prose.any():
+        prose = summed(lambda texts: _counts([t for t in texts if t.strip()]), 1 << BITS)
+    windows = [f"{w}\n{w}." for w, h in zip(learnt, grams) if not len(h) or seen[np.searchsorted(wanted, h)].mean() < SEEN]
+    seeds = [_counts(FILLER), _counts(NOTICES)]
+    model = ResidueModel(*seeds, prose)
     if windows:
-        own = set(learnt)
-        rest = [t for t in texts if sum(share for w, share in _shares(t).items() if w in own) < COVERAGE]
-        model = ResidueModel(*seeds, rest or texts)
         owner, _, f, n = model.windows(windows)
         closer = np.bincount(owner, weights=f - n, minlength=len(windows)) > 0
-        for w, filler in zip(windows, closer):
-            seeds[not filler].append(w)
-        model = ResidueModel(*seeds, rest or texts)
+        for kind, own in enumerate((closer, ~closer)):
+            seeds[kind] = seeds[kind] + _counts([w for w, x in zip(windows, own) if x])
+        model = ResidueModel(*seeds, prose)
     for _ in range(2):
-        if not texts:
+        step = model
+        told = summed(lambda texts: step.classes([t for t in texts if t.strip()]), 3 << BITS).reshape(3, -1)
+        if not told.any():
             break
-        filler, notices, prose = [*seeds[0]], [*seeds[1]], []
-        owner, letters, f, n = model.windows(texts)
-        total = np.bincount(owner, weights=letters, minlength=len(texts))
-        sums = [np.bincount(owner, weights=letters * hit, minlength=len(texts)) / np.maximum(total, 1) for hit in ((f > 0) & (f >= n), (n > 0) & (n > f))]
-        for t, a, b in zip(texts, *sums):
-            (prose if a + b < COVERAGE else filler if a >= b else notices).append(t)
-        model = ResidueModel(filler, notices, prose or texts)
+        model = ResidueModel(seeds[0] + told[1], seeds[1] + told[2], told[0] if told[0].any() else told.sum(0))
     return model
 
 
-def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, coverage: float = COVERAGE) -> DataFrame:
+def fit(texts: list[str], learnt: list[str] = ()) -> ResidueModel:
+    """The models of some texts in memory."""
+    held = [t for t in texts if t]
+    return _learnt_model(lambda step, _: step(held), learnt)
+
+
+def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """``(id_col, coverage, placeholder)`` of every document, which the caller filters by ``is_residue``.
 
     Null, empty and blank texts aren't residue.
     """
-    sample = ngrams.bounded_sample(df.select(text_col).where(F.col(text_col).isNotNull()), F.col(text_col), sample_docs)
-    model = fit([r[0] for r in sample.select(text_col).collect()], dominant_windows(df, text_col))
+    texts = df.select(text_col).where(F.col(text_col).isNotNull())
+    model = _learnt_model(lambda step, size: ngrams.summed(texts, step, size), dominant_windows(df, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, languages, lookalikes, near_copies, packing, residue, responses, scans, truncation
+from glyphmill.llm import bpe, languages, lookalikes, near_copies, ngrams, packing, residue, responses, scans, truncation
 
 VOCAB = f"{bpe.TOKENIZER_DIR}/byte_bpe_50k.json"
 SENTENCES = {
@@ -308,6 +308,23 @@ def test_residue_is_learnt_from_the_corpus(spark):
     assert {r["doc_id"] for r in residue.find_residue(df).where("is_residue").collect()} == set(range(5))
 
 
+def test_windows_beyond_five_thousand(spark):
+    """A notice on three documents, beside more than 5,000 windows that dominate more."""
+    usual = spark.range(4 * 5_200).selectExpr("concat('harbour ', translate(cast(id div 4 AS string), '0123456789', 'abcdefghij')) AS text")
+    rare = spark.createDataFrame([(f"Oops, the gremlins chewed this parchment\n{k}",) for k in range(3)], "text string")
+    assert "oops, the gremlins chewed this parchment" in residue.dominant_windows(usual.unionByName(rare))
+
+
+def test_residue_models_count_all_documents_and_their_ends(spark):
+    """The n-grams of whole texts of 7,000 documents, where a sample had the first 3,000 characters of 6,000."""
+    df = spark.range(7_000).selectExpr("concat(repeat('The old river passes the mill. ', 100), 'Quokka ', id) AS text")
+    got = ngrams.summed(df, residue._counts, 1 << residue.BITS)
+    texts = [r[0] for r in df.collect()]
+    assert got.sum() == sum(len(t) + 1 for t in texts)
+    (slot,) = {ngrams.hashed(ngrams.code_points(["quok"])[0], residue.GRAM, residue.BITS)[-1]}
+    assert got[slot] >= 7_000
+
+
 @pytest.mark.parametrize("width", [60, 100, 112, 120, 200])
 def test_pages_of_any_width(width):
     text = "The captain crossed the old harbour before the storm and left one lantern on the wall behind the village market while nobody in the whole town had seen the ship that came from the northern islands " * 8
