@@ -15,17 +15,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm import ngrams
-
-#: Texts the bigram models are fitted on.
-SAMPLE_TEXTS = 12_000
 #: What a letter costs less in the alphabet of the words around.
 HOME = 2.0
 
@@ -95,9 +91,18 @@ def plain_forms(text: str) -> str:
 class Bigrams:
     """Character bigrams of the words of each alphabet."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, counts: dict[tuple[str, str, str], int]):
         self.count: dict[str, Counter] = {k: Counter() for k in _ALPHABETS}
         self.total: dict[str, Counter] = {k: Counter() for k in _ALPHABETS}
+        for (k, a, b), n in counts.items():
+            self.count[k][a, b] += n
+            self.total[k][a] += n
+        self.seen = {k: sum(c.values()) for k, c in self.total.items()}
+
+    @staticmethod
+    def counts(texts: Iterable[str]) -> Counter[tuple[str, str, str]]:
+        """How often each alphabet's words have each pair of neighbouring letters."""
+        out: Counter[tuple[str, str, str]] = Counter()
         for w, n in Counter(w.rstrip("'’") for t in texts for w in _word.findall(plain_forms(t))).items():
             own = {alphabet(c) for c in w if c not in "'’"}
             if len(own) == 1:
@@ -106,9 +111,8 @@ class Bigrams:
                 if any(c not in _EXACT for c in w if c not in "'’"):
                     chain = f"^{w.lower()}$"
                     for a, b in zip(chain, chain[1:]):
-                        self.count[k][a, b] += n
-                        self.total[k][a] += n
-        self.seen = {k: sum(c.values()) for k, c in self.total.items()}
+                        out[k, a, b] += n
+        return out
 
     def cost(self, k: str, a: str, b: str) -> float:
         return -log((self.count[k][a, b] + 0.05) / (self.total[k][a] + 3.0)) + (0.0 if self.seen[k] else 3.0)
@@ -145,8 +149,8 @@ class Bigrams:
 class Canon:
     """Brings texts to one form and tells which had another."""
 
-    def __init__(self, texts: list[str]):
-        self.bigrams = Bigrams(texts)
+    def __init__(self, texts: list[str], counts: dict[tuple[str, str, str], int] | None = None):
+        self.bigrams = Bigrams(Bigrams.counts(texts) if counts is None else counts)
         self.memo: dict[tuple[str, str | None], str] = {}
 
     def _spell(self, word: str, home: str | None) -> str:
@@ -196,13 +200,22 @@ class Canon:
         return "".join([*out, text[at:]]), case
 
 
-def fit(tables: list[tuple[DataFrame, str]], sample_texts: int = SAMPLE_TEXTS) -> Canon:
-    """A canon whose bigrams come from a bounded sample of the texts."""
-    texts: list[str] = []
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: Counter[tuple[str, str, str]] = Counter()
+    for b in batches:
+        total.update(Bigrams.counts(t for t in b.column(0).to_pylist() if t is not None))
+    columns = [pa.array([x[k] for x in total], pa.string()) for k in range(3)]
+    yield pa.RecordBatch.from_arrays([*columns, pa.array(list(total.values()), pa.int64())], names=["alphabet", "a", "b", "n"])
+
+
+def fit(tables: list[tuple[DataFrame, str]]) -> Canon:
+    """A canon whose bigrams are counted over all different texts of each table; tasks add up their own, so only pairs of letters are sent."""
+    counts: Counter[tuple[str, str, str]] = Counter()
     for df, col in tables:
-        part = ngrams.bounded_sample(df.select(F.col(col).alias("t")).where(F.col(col).isNotNull()), F.col("t"), sample_texts)
-        texts += [r[0] for r in part.collect()]
-    return Canon(texts)
+        texts = df.select(F.col(col).alias("t")).where(F.col(col).isNotNull()).distinct()
+        for *pair, n in texts.mapInArrow(_count, "alphabet string, a string, b string, n long").groupBy("alphabet", "a", "b").agg(F.sum("n").alias("n")).collect():
+            counts[tuple(pair)] += n
+    return Canon([], counts)
 
 
 def canonical(df: DataFrame, canon: Canon, id_col: str, text_col: str) -> DataFrame:

@@ -192,6 +192,15 @@ def test_disguised_words_come_back():
     assert canon.text("Первый текст здесь. Second text is here too.") == ("Первый текст здесь. Second text is here too.", False)
 
 
+def test_bigrams_of_all_texts(spark):
+    """One text in 30,000 with letter pairs of its own; equal texts count once."""
+    df = spark.range(30_000).selectExpr("CASE WHEN id = 17 THEN 'Zwqvkk' WHEN id % 2 = 0 THEN 'the same river' ELSE concat('river ', id) END AS t")
+    got = lookalikes.fit([(df, "t")]).bigrams
+    want = lookalikes.Canon(sorted({r[0] for r in df.collect()})).bigrams
+    assert got.count == want.count and got.total == want.total and got.seen == want.seen
+    assert got.count["latin"]["q", "v"] == 1 and got.count["latin"]["r", "i"] == 15_000
+
+
 def test_header_of_one_book_in_a_large_corpus(spark):
     """A header on three of 31,000 pages."""
     body = "The captain crossed the old bay.\nBefore the storm and he left it\nthe lantern on the wall is near\nthe village market in winter."
