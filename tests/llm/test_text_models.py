@@ -135,6 +135,19 @@ def test_truncation_without_a_sample():
     assert not truncation.TruncationModel([]).cut(["half a wo"]).any()
 
 
+def test_truncation_counts_all_texts(spark):
+    """Words and a field limit of five texts among 30,000, and a regression of several parts."""
+    usual = spark.range(30_000).selectExpr("concat('The old river ', id, ' passes the mill.') AS t")
+    rare = spark.createDataFrame([(t,) for t in [f"The quokka of number {k} sleeps beside the old mill wall." for k in range(5)] + [f"{c * 3} walks over the long bridge without a word to an{c}" for c in "abcde"]], "t string")
+    m = truncation.fit([(usual.unionByName(rare), "t")])
+    assert m.words["quokka"] == 5 and m.words["river"] == truncation.WELL_KNOWN
+    assert m.limits == {len("aaa walks over the long bridge without a word to ana")}
+    df = spark.createDataFrame([(t,) for t in long_texts(1)], "t string")
+    m, good = truncation.fit([(df, "t")], part_texts=300), long_texts(2)[:200]
+    assert m.cut(good).mean() <= 0.02
+    assert m.cut([t[:-4] for t in good]).mean() >= 0.9
+
+
 PROSE = [f"{s} Last week the server answered with a 404 error, and we wrote about it." if k == "en" else s for k, s in corpus(40)]
 
 
