@@ -10,7 +10,9 @@ classes are searched:
    samples put into bands;
 3. in a band a class stands as a sketch of 120 parities of its hashed items. Bands
    in which very many sketches stand are cut into cells of two blocks, so that no
-   task gets all of one. Of two sketches that meet, those with too many different
+   task gets all of one. The sketches travel in blocks, one from each task to each
+   range of band keys, and are sorted and compared there in numpy. Of two sketches
+   that meet, those with too many different
    parities are dropped at once; that bound is exact, since one odd parity takes
    one item that isn't shared. Classes of one sketch meet too;
 4. verification of each candidate pair of classes by weighted Jaccard with
@@ -32,15 +34,18 @@ pairs share a name by chance; these would be taken for one class.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.llm.ngrams import code_points
 from glyphmill.session import materialize
 
 #: Alikeness from which two texts belong together.
@@ -57,6 +62,10 @@ FLOOR = 1 / 20
 FILTER_BITS = 1 << 23
 #: Classes that one block of a crowded band holds, and bits of the hash under which bands are counted.
 BLOCK, SLOT_BITS = 4000, 16
+#: Keys of one part of the bands, classes that a task deals to the parts at once, and pairs of sketches that it compares at once.
+PART_KEYS, ROUND, MEETINGS = 1_000_000, 100_000, 500_000
+#: Bytes of text that are made into items at once, and the base of the items' hashes.
+CHARACTERS, BASE = 1 << 20, np.uint64(0x9FB21C651E98DF25)
 #: Entries of a worker's memo.
 MEMO_ENTRIES = 60_000
 
@@ -75,50 +84,80 @@ def items_of(text: str | None, lang: str | None) -> list[str]:
     return list(dict.fromkeys(words))
 
 
+@functools.cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a letter or digit, and its value in the hashes of items."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000), _mix(np.arange(0x110000, dtype=np.uint64))
+
+
+def _item_hashes(texts: list[str], paired: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit hashes of the distinct items of all texts, in the order of the texts, and the number in each; what ``items_of`` gives one by one.
+
+    The hash of an item is that of the polynomial of its characters' values.
+    """
+    letter, value = _characters()
+    chars, length = code_points([t.casefold() for t in texts])
+    at = np.flatnonzero(letter[chars])
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), length)[at]
+    values = value[chars[at]]
+    apart = owner[1:] != owner[:-1]
+    with np.errstate(over="ignore"):
+        if paired:
+            begin = np.flatnonzero(~apart)
+            values = values[begin] + values[begin + 1] * BASE if len(begin) else values[:0]
+        else:
+            begin = np.flatnonzero(np.append(True, apart | (at[1:] != at[:-1] + 1))[: len(at)])
+            place = np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))
+            powers = np.full(place.max(initial=0) + 1, BASE)
+            powers[0] = 1
+            values = np.add.reduceat(values * np.multiply.accumulate(powers)[place], begin) if len(begin) else values
+        code = _mix(values) >> np.uint64(32)
+    keyed = (owner[begin] << np.uint64(32)) | code
+    order = np.argsort(keyed)
+    keyed = keyed[order]
+    runs = np.flatnonzero(np.append(True, keyed[1:] != keyed[:-1])[: len(keyed)])
+    first = np.sort(np.minimum.reduceat(order, runs)) if len(runs) else order
+    return code[first].astype(np.uint32), np.bincount(owner[begin][first].astype(np.int64), minlength=len(texts))
+
+
 def _itemise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows to sides: the 32-bit hashes of a side's items as bytes, and the 64-bit name of its class.
 
     The hashes stay in the order of the text, where phrases that texts share make them compress.
     """
-    memo: dict[str, int] = {}
-    pairs: dict[tuple, int] = {}
-    digest, name = xxhash.xxh32_intdigest, xxhash.xxh3_64_intdigest
-    for b in batches:
-        ids, grp, slang, tlang, stext, ttext = (c.to_pylist() for c in b.columns)
-        row_id, group, lang_of, pair_of, size, flat = [], [], [], [], [], []
-        for i, g, sl, tl, s, t in zip(ids, grp, slang, tlang, stext, ttext):
-            for side, lang, text in ((0, sl, s), (1, tl, t)):
-                words = items_of(text, lang)
-                if not words:
+    named: dict[tuple, int] = {}
+
+    def sides(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, grp = b.column(0), b.column(1)
+        slang, tlang = b.column(2).to_pylist(), b.column(3).to_pylist()
+        for k in set(zip(slang, tlang)) - {k[:2] for k in named}:
+            named.update({(*k, side): xxhash.xxh3_64_intdigest(f"{k[0]}\x1f{k[1]}\x1f{side}") for side in (0, 1)})
+        for side, langs in ((0, slang), (1, tlang)):
+            texts = b.column(4 + side).to_pylist()
+            two = [(lang or "").lower()[:2] in _PAIRED for lang in langs]
+            for paired in (False, True):
+                rows = [i for i, (t, p) in enumerate(zip(texts, two)) if t is not None and p == paired]
+                codes, size = _item_hashes([texts[i] for i in rows], paired)
+                rows, size = np.array(rows, dtype=np.int64)[size > 0], size[size > 0]
+                if not len(rows):
                     continue
-                row_id.append(i)
-                group.append(g)
-                lang_of.append(lang or "")
-                k = (sl, tl, side)
-                if k not in pairs:
-                    pairs[k] = name(f"{sl}\x1f{tl}\x1f{side}")
-                pair_of.append(pairs[k])
-                size.append(len(words))
-                flat += words
-        if not row_id:
-            continue
-        if len(memo) > 500_000:
-            memo.clear()
-        codes = list(map(memo.get, flat))
-        if None in codes:
-            for w in {w for w, c in zip(flat, codes) if c is None}:
-                memo[w] = digest(w)
-            codes = list(map(memo.__getitem__, flat))
-        codes = np.array(codes, dtype=np.uint32)
-        keyed = codes.astype(np.uint64) | (np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(32))
-        keyed.sort()
-        raw = (keyed & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
-        ends = np.cumsum(size) * 4
-        cut = lambda data: [data[e - 4 * n : e] for e, n in zip(ends.tolist(), size)]  # noqa: B023, E731
-        cid = np.fromiter(map(name, cut(raw), pair_of), dtype=np.uint64, count=len(size)).view(np.int64)
-        pair = np.array(pair_of, dtype=np.uint64)
-        low, high = _sketch(codes, np.array(size, dtype=np.int64), pair)
-        yield pa.RecordBatch.from_arrays([pa.array(row_id, pa.int64()), pa.array(group, pa.int64()), pa.array(lang_of, pa.string()), pa.array(cid), pa.array(pair.view(np.int64)), pa.array(low), pa.array(high), pa.array(cut(codes.tobytes()), pa.binary())], names=["row_id", "grp", "lang", "cid", "pair", "low", "high", "items"])
+                pair = np.array([named[slang[i], tlang[i], side] for i in rows.tolist()], dtype=np.uint64)
+                ends = np.cumsum(size)
+                with np.errstate(over="ignore"):
+                    cid = _mix(np.add.reduceat(_mix(codes.astype(np.uint64) | np.uint64(1 << 32)), ends - size) ^ pair)
+                low, high = _sketch(codes, size, pair)
+                items = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32)), pa.py_buffer(codes)])
+                own = pa.array([langs[i] or "" for i in rows.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in (ids, grp)), own, pa.array(cid.view(np.int64)), pa.array(pair.view(np.int64)), pa.array(low), pa.array(high), items], names=["row_id", "grp", "lang", "cid", "pair", "low", "high", "items"])
+
+    for b in batches:
+        read = np.cumsum(np.sum([pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (4, 5)], axis=0))
+        at = 0
+        while at < b.num_rows:
+            # rows with CHARACTERS bytes of text at once, one at least
+            stop = max(int(np.searchsorted(read, (read[at - 1] if at else 0) + CHARACTERS, side="right")), at + 1)
+            yield from sides(b.slice(at, stop - at))
+            at = stop
 
 
 def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -263,15 +302,6 @@ def _sign(weights: dict[str, tuple[np.ndarray, np.ndarray]], rare: float, rows:
     return run
 
 
-def _may_be_alike(threshold: float) -> Column:
-    """Exact bounds of two sketches ``l`` and ``r``, the lesser first; sets of 255 items and more pass."""
-    n_l, n_r = F.col("lowl").bitwiseAND(F.lit(255)), F.col("lowr").bitwiseAND(F.lit(255))
-    differ = F.bit_count(F.shiftrightunsigned(F.col("lowl").bitwiseXOR(F.col("lowr")), 8)) + F.bit_count(F.col("highl").bitwiseXOR(F.col("highr")))
-    near = (differ <= (n_l + n_r) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6) & (F.least(n_l, n_r) >= F.greatest(n_l, n_r) * F.lit(threshold) - 1e-6)
-    ordered = (F.col("lowl") < F.col("lowr")) | ((F.col("lowl") == F.col("lowr")) & (F.col("highl") < F.col("highr")))
-    return ordered & ((n_l == 255) | (n_r == 255) | near)
-
-
 def crowded_slots(signed: DataFrame, block: int, slot_bits: int) -> list[tuple[int, int]]:
     """``(slot, blocks)`` of the hashed bands that hold more than ``block`` rows beyond twice the mean.
 
@@ -292,30 +322,140 @@ def crowded_slots(signed: DataFrame, block: int, slot_bits: int) -> list[tuple[i
     return [(r["slot"], r["blocks"]) for r in hot.select("slot", F.ceil(F.col("excess") / block).cast("int").alias("blocks")).collect()]
 
 
-def _banded_pairs(signed: DataFrame, threshold: float, block: int, slot_bits: int) -> DataFrame:
+def _dealt(hot: list[tuple[int, int]], parts: int, slot_bits: int):
+    """Signed sketches to blocks of keys and sketches, one for each part and round; a part is a range of keys.
+
+    A sketch in a crowded band, of a slot in ``hot``, stands under the keys of all cells of two blocks that hold its own block.
+    """
+    blocks = np.ones(1 << slot_bits, dtype=np.int64)
+    for slot, n in hot:
+        blocks[slot] = max(n, 2)
+
+    def cells(key: np.ndarray, owner: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            own = np.repeat((_mix(_mix(low[owner].view(np.uint64)) ^ high[owner].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64), n - 1)
+            of = np.arange(len(own)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1)
+            of += of >= own
+            cell = (np.minimum(own, of) << 32 | np.maximum(own, of)).astype(np.uint64)
+            return (_mix(_mix(np.repeat(key, n - 1).astype(np.uint64)) ^ cell) >> np.uint64(32)).astype(np.uint32), np.repeat(owner, n - 1)
+
+    def dealt(key: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(key)
+        key, owner = key[order], owner[order]
+        part = _part(key, parts)
+        cuts = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(key)]).tolist(), len(key)]
+        made = [_block(key[a:z], low[owner[a:z]], high[owner[a:z]]) for a, z in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(made, pa.binary())], names=["part", "block"])
+
+    def rounds(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in (0, 1))
+        key = np.concatenate([b.column(2).flatten().to_numpy() for b in batches]).view(np.uint32)
+        owner = np.repeat(np.arange(len(low)), np.concatenate([np.diff(b.column(2).offsets.to_numpy()) for b in batches]))
+        n = blocks[key >> np.uint32(32 - slot_bits)]
+        alone = n == 1
+        yield dealt(key[alone], owner[alone], low, high)
+        key, owner, n = key[~alone], owner[~alone], n[~alone]
+        copies = np.cumsum(n - 1)
+        at = 0
+        while at < len(key):
+            stop = max(int(np.searchsorted(copies, (copies[at - 1] if at else 0) + PART_KEYS, side="right")), at + 1)
+            yield dealt(*cells(key[at:stop], owner[at:stop], n[at:stop], low, high), low, high)
+            at = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= ROUND:
+                yield from rounds(held)
+                held, rows = [], 0
+        if rows:
+            yield from rounds(held)
+
+    return run
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each 32-bit key, in rising order."""
+    return (key.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _block(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
+    """Their number, the sorted keys' differences byte by byte, which compress, and both halves of the sketches."""
+    steps = np.diff(key, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+    return b"".join((np.array([len(key)], dtype=np.int64).tobytes(), steps.tobytes(), low.tobytes(), high.tobytes()))
+
+
+def _undealt(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and both halves of the sketches of a block."""
+    n = int(np.frombuffer(block, dtype=np.int64, count=1)[0])
+    steps = np.ascontiguousarray(np.frombuffer(block, dtype=np.uint8, count=4 * n, offset=8).reshape(4, n).T).view(np.uint32)[:, 0]
+    low, high = (np.frombuffer(block, dtype=np.int64, count=n, offset=8 + 4 * n + 8 * k * n) for k in range(2))
+    return np.cumsum(steps, dtype=np.uint32), low, high
+
+
+def _near_sketches(key: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(lowl, highl, lowr, highr)``: the pairs of sketches of one key that can be alike, the lesser first.
+
+    The bounds are exact; a size of 255 stands for that many items and more, and its parities are not looked at. The sketches
+    of a key stand in the order of their sizes, so that each meets only those that are not too large for it.
+    """
+    size = low & 255
+    place = (key.astype(np.uint64) << np.uint64(32)) | (size.astype(np.uint64) << np.uint64(24))
+    order = np.argsort(place | (high.view(np.uint64) & np.uint64(0xFFFFFF)))
+    key = key[order]
+    shared = key[1:] == key[:-1]
+    order = order[np.append(shared, False) | np.append(False, shared)] if len(key) else order
+    place, low, high = place[order], low[order], high[order]
+    # copies of a sketch that several tasks signed are neighbours, but for a clash of 24 bits, which only repeats a pair
+    first = np.append(True, (place[1:] != place[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(place)]
+    place, low, high = place[first], low[first], high[first]
+    size = low & 255
+    most = np.minimum(np.floor((np.arange(256) + 1e-6) / threshold), 255).astype(np.uint64)
+    end = np.searchsorted(place, (place & ~np.uint64(0xFFFFFFFF)) | (most[size] << np.uint64(24)), side="right")
+    partners = np.maximum(end - np.arange(1, len(place) + 1), 0)
+    met = np.concatenate(([0], np.cumsum(partners)))
+    at = 0
+    while at < len(place):
+        stop = max(int(np.searchsorted(met, met[at] + MEETINGS, side="right")) - 1, at + 1)
+        n = partners[at:stop]
+        l = np.repeat(np.arange(at, stop), n)
+        r = l + 1 + np.arange(len(l)) - np.repeat(np.cumsum(n) - n, n)
+        # unsigned, as the count of a negative number is that of its absolute value
+        differ = np.bitwise_count(((low[l] ^ low[r]) & ~np.int64(255)).view(np.uint64)) + np.bitwise_count((high[l] ^ high[r]).view(np.uint64))
+        near = (size[r] == 255) | (differ <= (size[l] + size[r]) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+        l, r = l[near], r[near]
+        turned = (low[l] > low[r]) | ((low[l] == low[r]) & (high[l] > high[r]))
+        l, r = np.where(turned, r, l), np.where(turned, l, r)
+        apart = (low[l] != low[r]) | (high[l] != high[r])
+        l, r = l[apart], r[apart]
+        yield low[l], high[l], low[r], high[r]
+        at = stop
+
+
+def _met(threshold: float):
+    """Blocks of whole parts to the pairs of sketches that share a key and can be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for part, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(part, []).append(block)
+        while held:
+            key, low, high = (np.concatenate(x) for x in zip(*map(_undealt, held.popitem()[1])))
+            for pairs in _near_sketches(key, low, high, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["lowl", "highl", "lowr", "highr"])
+
+    return run
+
+
+def _banded_pairs(signed: DataFrame, bands: int, threshold: float, block: int, slot_bits: int) -> DataFrame:
     """``(lowl, highl, lowr, highr)``: the pairs of sketches that share a band and can be alike, once or more often."""
-    ends = ["lowl", "highl", "lowr", "highr"]
-    hot = crowded_slots(signed, block, slot_bits)
-    flat = signed.select(F.explode("keys").alias("key"), "low", "high")
-    parts = []
-    if hot:
-        spark = signed.sparkSession
-        slots = F.broadcast(spark.createDataFrame(hot, "slot int, blocks int"))
-        told = flat.join(slots, F.expr(f"shiftrightunsigned(key, {32 - slot_bits})") == F.col("slot"), "left")
-        flat = told.where("slot IS NULL").select("key", "low", "high")
-        # each class of a crowded band stands in one cell for each block of partners, its own block's included
-        own = told.where("slot IS NOT NULL").withColumn("own", F.expr("cast(pmod(xxhash64(low, high), blocks) as int)"))
-        cells = own.select("key", "low", "high", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of"))
-        cells = cells.select("key", F.least("own", "of").alias("i"), F.greatest("own", "of").alias("j"), "low", "high", "own").repartition("key", "i", "j").dropDuplicates()
-        left, right = (cells.select("key", "i", "j", *(F.col(c).alias(c + side) for c in ("low", "high", "own"))) for side in "lr")
-        met = left.join(right, ["key", "i", "j"]).where(_may_be_alike(threshold) & ((F.col("i") == F.col("j")) | (F.col("ownl") != F.col("ownr"))))
-        parts.append(met.select(*ends))
-    # one exchange serves both sides of the join. A sketch that several tasks signed stands once on the left; on the right its
-    # copies only repeat a pair, at most once for each task, until the caller's distinct
-    flat = flat.repartition("key")
-    left, right = (side.select("key", *(F.col(c).alias(c + end) for c in ("low", "high"))) for side, end in ((flat.dropDuplicates(), "l"), (flat, "r")))
-    parts.append(left.join(right, "key").where(_may_be_alike(threshold)).select(*ends))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # the parts grow with the keys, so that a task holds about as many of them at any size
+    parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() * bands // PART_KEYS))
+    blocks = signed.select("low", "high", "keys").mapInArrow(_dealt(crowded_slots(signed, block, slot_bits), parts, slot_bits), "part int, block binary")
+    return blocks.repartitionById(parts, F.col("part")).mapInArrow(_met(threshold), "lowl long, highl long, lowr long, highr long")
 
 
 def item_counts(sides: DataFrame) -> np.ndarray:
@@ -454,7 +594,7 @@ class NearCopies:
             weights, rare = item_weights(sides, sharpness, floor)
             signed = materialize(sides.select("cid", "lang", "items", "pair", "low", "high").mapInArrow(_sign(weights, rare, rows, bands), "low long, high long, keys array<int>"))
             twins = sides.groupBy("low", "high").agg(F.min("cid").alias("one"), F.max("cid").alias("two")).where("one <> two")
-            met = _banded_pairs(signed, threshold, block, slot_bits).distinct().unionByName(twins.select(F.col("low").alias("lowl"), F.col("high").alias("highl"), F.col("low").alias("lowr"), F.col("high").alias("highr")))
+            met = _banded_pairs(signed, bands, threshold, block, slot_bits).distinct().unionByName(twins.select(F.col("low").alias("lowl"), F.col("high").alias("highl"), F.col("low").alias("lowr"), F.col("high").alias("highr")))
             self.alike = _verified(sides, materialize(met), ["low", "high"], threshold)
 
     def pairs(self) -> DataFrame:

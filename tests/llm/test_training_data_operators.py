@@ -106,6 +106,50 @@ def test_near_copies_hot_copy_group(spark):
     assert got == {(k, 1000) for k in range(200)}
 
 
+def test_near_copies_meet_in_blocks(spark):
+    """The bands' keys travel in blocks, not as a row for each class and band; the pairs are those of all keys by brute force."""
+    rng = random.Random(5)
+    signed, of = [], {}
+    for _ in range(400):
+        low, high, n = rng.getrandbits(56), rng.getrandbits(64), rng.choice([12, 14, 30, 254, 255])
+        for _ in range(3):
+            low, high = low ^ 1 << rng.randrange(56), high ^ 1 << rng.randrange(64)
+            sketch = [x - (x >> 63 << 64) for x in (low << 8 | n - rng.randrange(2), high)]
+            keys = [rng.randrange(40) * 0x6000000 - (1 << 31) for _ in range(4)]
+            signed.append((*sketch, keys))
+            for k in keys:
+                of.setdefault(k, set()).add(tuple(sketch))
+    want = set()
+    for there in of.values():
+        for a in there:
+            for b in there:
+                differ = ((a[0] ^ b[0]) >> 8 & (1 << 56) - 1).bit_count() + ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count()
+                small, large = sorted((a[0] & 255, b[0] & 255))
+                if a < b and small >= 0.73 * large - 1e-6 and (large == 255 or differ <= (small + large) * 0.27 / 1.73 + 1e-6):
+                    want.add((*a, *b))
+    df = spark.createDataFrame(signed + signed[:50], "low long, high long, keys array<int>")
+    for block in (10**9, 20):
+        met = near_copies._banded_pairs(df, 4, 0.73, block, 8)
+        assert {tuple(r) for r in met.collect()} == want
+        plan = met._jdf.queryExecution().toString()
+        assert "Generate" not in plan and "Join" not in plan
+    assert len(want) > 1000
+
+
+def test_near_copies_items_of_many_texts_at_once():
+    texts = ["A b, a! B_c", "", "...", "Straße STRASSE ß", "日本、語の 日本", "x" * 5000 + " y", "a\x00b ab\ud800c", "１２ ①② é e\u0301", "ﬁne İi", "語"] + [LONG]
+    for paired in (False, True):
+        codes, sizes = near_copies._item_hashes(texts, paired)
+        ends, named = sizes.cumsum(), {}
+        for text, n, end in zip(texts, sizes.tolist(), ends.tolist()):
+            items = near_copies.items_of(text, "ja" if paired else "en")
+            assert n == len(items)
+            for item, code in zip(items, codes[end - n : end].tolist()):
+                assert named.setdefault(item, code) == code
+        assert len(set(named.values())) == len(named)
+    assert [len(x) for x in near_copies._item_hashes([], False)] == [0, 0]
+
+
 def test_copies(spark):
     m = memory(spark, odd_rows() + [(20, "Mira Oak: HP 5 | ATK 6 | DEF 7", "", "en", "ru"), (21, "MIRA OAK - def 7, hp 5 / atk 6", "", "en", "ru"), (22, "Mira Oak: HP 6 | ATK 5 | DEF 7", "", "en", "ru"), (23, "STRASSE nine!", "", "de", "ru"), (24, "straße, nine", "", "de", "ru"), (25, "first second.", "", "en", "ru"), (26, "second first.", "", "en", "ru")])
     t = spark.createDataFrame([(1, "en\x1fru\x1fRed map 7"), (2, "Red map, 7||en||ru"), (3, "EN::red MAP 7::RU"), (4, "en\tde\tRed map 7"), (5, "\x1fru\x1fRed map 7"), (6, "|ru|Red map 7!"), (7, None), (8, ""), (9, "en \x1f Red map 7 \x1f ru")], "entry_id long, cache_key string")
